@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import langid, simhash, toxicity
+from sheafline.llm import langid, quality, simhash, toxicity
 from sheafline.llm.common import held_out
 
 
@@ -28,6 +28,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every whole document, base_failed, content_share and kept."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality.fit(docs, labels, where=~held_out())
+    got = quality.judge(docs, model)
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of every document."""
     docs = _documents(spark, sf_dir)
@@ -36,7 +45,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op5_language)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_language)}
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
