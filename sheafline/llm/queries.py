@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import langid, quality, simhash, toxicity
+from sheafline.llm import langid, mixing, quality, secret_scan, simhash, toxicity
 from sheafline.llm.common import held_out
 
 
@@ -45,7 +45,23 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_language)}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
+    return mixing.mix(_documents(spark, sf_dir))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every whole document."""
+    got = secret_scan.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    return got.select(
+        "doc_id",
+        *(secret_scan.counted(k, "base_spans").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secret_scan.joined("base_spans").cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined("spans").alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_language, op6_mixing, op9_secrets)}
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.MIX_SQL}
