@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import langid, mixing, quality, secret_scan, simhash, toxicity
+from sheafline.llm import langid, merkle, mixing, quality, secret_scan, simhash, toxicity
 from sheafline.llm.common import held_out
 
 
@@ -50,6 +50,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole document and of its edited text."""
+    return merkle.fingerprint_pairs(_documents(spark, sf_dir))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every whole document."""
     got = secret_scan.scan(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -61,7 +66,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_language, op6_mixing, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_language, op6_mixing, op8_merkle, op9_secrets)}
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op6_mixing": mixing.MIX_SQL}
