@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import langid, merkle, mixing, quality, secret_scan, simhash, toxicity
+from sheafline.llm import html_extract, langid, merkle, mixing, quality, secret_scan, simhash, toxicity
 from sheafline.llm.common import held_out
 
 
@@ -66,7 +66,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_language, op6_mixing, op8_merkle, op9_secrets)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_language, op6_mixing, op8_merkle, op9_secrets, op10_html)}
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op6_mixing": mixing.MIX_SQL}
