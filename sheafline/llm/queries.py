@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import html_extract, langid, merkle, mixing, quality, secret_scan, simhash, toxicity
+from sheafline.llm import html_extract, langid, merkle, mixing, quality, secret_scan, simhash, toxicity, warc
 from sheafline.llm.common import held_out
 
 
@@ -50,6 +50,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written, normalised and read back."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document and of its edited text."""
     return merkle.fingerprint_pairs(_documents(spark, sf_dir))
@@ -71,7 +76,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_language, op6_mixing, op8_merkle, op9_secrets, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_language, op6_mixing, op7_warc, op8_merkle, op9_secrets, op10_html)}
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS largest FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN largest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN largest <> page_id THEN largest END AS refers_to
+FROM g
+"""
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op6_mixing": mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.MIX_SQL, "op7_warc": WARC_SQL}
