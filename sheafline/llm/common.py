@@ -70,6 +70,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keeps Arrow batches at `rows` rows where the session has Spark's default of 10000, which suits short rows.
+
+    With texts of several kilobytes a default batch takes tens of megabytes, in the JVM and again in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def map_rows(df: DataFrame, fn: Callable[..., list], inputs: list[str], fields: list[T.StructField], keep: list[str] | None = None, rows: int = 512) -> DataFrame:
     """Appends columns that fn computes in Arrow batches.
 
@@ -87,6 +97,7 @@ def map_rows(df: DataFrame, fn: Callable[..., list], inputs: list[str], fields:
     read = [f"__in{i}" for i in range(len(inputs))]
     src = df.select(*[F.col(_q(c)) for c in keep], *[F.col(_q(c)).alias(r) for c, r in zip(inputs, read)])
     n_keep = len(keep)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
