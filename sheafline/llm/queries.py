@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import html_extract, langid, merkle, mixing, quality, secret_scan, simhash, toxicity, warc
+from sheafline.llm import html_extract, langid, merkle, mixing, quality, secret_scan, sentencepieces, simhash, toxicity, warc
 from sheafline.llm.common import held_out
 
 
@@ -28,6 +28,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, and whether they decode to it again (a null text counts as empty)."""
+    vocabulary = sentencepieces.load()
+    got = sentencepieces.encode(_documents(spark, sf_dir).select("doc_id", "text"), vocabulary)
+    got = sentencepieces.decode(got, vocabulary)
+    return got.select("doc_id", "n_tokens", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every whole document, base_failed, content_share and kept."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -76,7 +84,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_language, op6_mixing, op7_warc, op8_merkle, op9_secrets, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_sentencepiece, op4_quality, op5_language, op6_mixing, op7_warc, op8_merkle, op9_secrets, op10_html)}
 
 WARC_SQL = """
 WITH p AS (
