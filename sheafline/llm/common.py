@@ -11,10 +11,13 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import io
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,14 +73,34 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches at `rows` rows where the session has Spark's default of 10000, which suits short rows.
+_shipped: set[str] = set()
 
-    With texts of several kilobytes a default batch takes tens of megabytes, in the JVM and again in Python.
+
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """Makes Python on the executors ready for this package's functions.
+
+    The package goes to the executors by way of the shared folder, once an application, so that it need not be installed
+    there.  Arrow batches are kept at `rows` rows where the session has Spark's default of 10000, which suits short rows: of
+    texts of several kilobytes such a batch takes tens of megabytes, in the JVM and again in Python.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.writestr(str(f.relative_to(top.parent)), f.read_bytes())
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sheafline/{top.name}-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+    _shipped.add(sc.applicationId)
 
 
 def map_rows(df: DataFrame, fn: Callable[..., list], inputs: list[str], fields: list[T.StructField], keep: list[str] | None = None, rows: int = 512) -> DataFrame:
@@ -97,7 +120,7 @@ def map_rows(df: DataFrame, fn: Callable[..., list], inputs: list[str], fields:
     read = [f"__in{i}" for i in range(len(inputs))]
     src = df.select(*[F.col(_q(c)) for c in keep], *[F.col(_q(c)).alias(r) for c, r in zip(inputs, read)])
     n_keep = len(keep)
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,14 +136,3 @@ def map_rows(df: DataFrame, fn: Callable[..., list], inputs: list[str], fields:
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
-
-def per_process(make: Callable):
-    """make() once per Python worker and arguments' identity; for tables that are dear to build."""
-    made = {}
-
-    def get(*args):
-        if args not in made:
-            made[args] = make(*args)
-        return made[args]
-
-    return get

@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     before = None
     while True:
-        mark = now.agg(F.count("*"), F.sum("lo"), F.sum(F.hash("hi", "lo").cast("long"))).first()
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.hash("lo", "hi").cast("long"))).first()
         if mark == before or mark[0] == 0:
             break
         before = mark

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from sheafline.llm.common import small_batches, written
+from sheafline.llm.common import prepare, written
 
 #: Fixed values of HTML.
 BLOCKS = frozenset(
@@ -244,7 +244,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", page_id: str =
     pass, and the first and last page of a range meet their missing neighbours in a small table of ends, where the
     neighbours are lists of line keys.
     """
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     name = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[^/?#]*://)?([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[^/?#]*://)?[^/?#]*([^?#]*)", 1)
     pages = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"), name.alias("host"), path.alias("path"))

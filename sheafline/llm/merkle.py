@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from sheafline.llm.common import small_batches, written
+from sheafline.llm.common import prepare, written
 
 #: A piece ends after a sentence mark, or after a word of which one in EVERY (by its hash) is an end.
 EVERY = 24
@@ -186,7 +186,7 @@ def fingerprint_pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
     Texts are dealt out by ranges of the id and sorted within them once.  Each task pairs neighbours as they pass; the last
     document of a range meets its next, the first of the range that follows, in a small table of ends: two rows a task.
     """
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)

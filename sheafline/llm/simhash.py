@@ -13,6 +13,8 @@ out of the set, then the search goes on from what was taken out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafline.llm.common import ASCII_LOWER, WORD_RE, map_rows, written
+from sheafline.llm.common import ASCII_LOWER, WORD_RE, map_rows, prepare, written
 from sheafline.llm.graph import connected_components
 
 SEED = 42
@@ -57,77 +59,70 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 3, seed: int =
     return map_rows(df, run, [text], [T.StructField(name, T.LongType(), False)])
 
 
-def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect what distances of at most `bits` connect, one fewer than members for each class."""
-    rest, out = np.unique(fps), []
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            at = queue.pop()
-            near = np.bitwise_count(rest ^ at) <= bits
+def _forest(ids: np.ndarray, fps: np.ndarray, checks: np.ndarray, bits: int, check_bits: int) -> tuple[list, list]:
+    """Links that connect what pairs within the distances connect, one fewer than members for each class."""
+    a, b = [], []
+    while len(ids) > 1:
+        queue = [(ids[0], fps[0], checks[0])]
+        ids, fps, checks = ids[1:], fps[1:], checks[1:]
+        while queue and len(ids):
+            i, f, c = queue.pop()
+            near = (np.bitwise_count(fps ^ f) <= bits) & (np.bitwise_count(checks ^ c) <= check_bits)
             if near.any():
-                found, rest = rest[near], rest[~near]
-                out += [(int(at), int(x)) for x in found]
-                queue.extend(found)
-    return out
+                found, far = np.flatnonzero(near), ~near
+                a += [int(i)] * len(found)
+                b += ids[found].tolist()
+                queue.extend(zip(ids[found], fps[found], checks[found]))
+                ids, fps, checks = ids[far], fps[far], checks[far]
+    return a, b
 
 
-def fingerprint_links(fps: DataFrame, col: str = "fp", bits: int = BITS) -> DataFrame:
-    """(a, b) of fingerprints: a forest with the same connected components as all pairs within `bits` <= 3 bits.
+def fingerprint_links(nodes: DataFrame, fp: str = "fp", node: str = "id", bits: int = BITS, check: str | None = None, check_bits: int = 64) -> DataFrame:
+    """(a, b) of nodes: a forest with the same connected components as all pairs within `bits` <= 3 bits.
 
-    fps: distinct signed longs in `col`; nulls are ignored.
+    nodes: a row for each node (long) with its fingerprint (signed long); nulls are ignored.  With `check`, a second
+    fingerprint, pairs must also be within `check_bits` of each other there.
     """
     if not 0 <= bits <= 3:
         raise ValueError("two segments with balls of radius one find pairs of up to 3 differing bits")
+    prepare(nodes.sparkSession)
     # a key is a segment's word with the segment's number above it; the word itself, then each zero bit raised
     word = ["shiftrightunsigned(fp, 32)", "fp & 4294967295L"]
     keys = [
         f"transform(array_insert(filter(transform(sequence(0, 31), i -> if(({w} & shiftleft(1L, i)) = 0, {w} | shiftleft(1L, i), -1L)), k -> k >= 0), 1, {w}), k -> k + {seg << 33}L)"
         for seg, w in enumerate(word)
     ]
-    rows = (
-        fps.select(F.col(col).alias("fp")).where("fp is not null")
-        .select("fp", F.explode(F.concat(*(F.expr(k) for k in keys))).alias("key"))
-        .repartition("key")
-        .sortWithinPartitions("key")
-    )
-
-    def run(batches):
+    named = nodes.select(F.col(node).alias("id"), F.col(fp).alias("fp"), *([F.col(check).alias("check")] if check else [])).where("fp is not null and id is not null")
+    rows = named.select("*", F.explode(F.concat(*(F.expr(k) for k in keys))).alias("key")).repartition("key").sortWithinPartitions("key")
+
+    def links(k: np.ndarray, i: np.ndarray, f: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.diff(k)) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(k)]))
+        s = starts[ends - starts == 2]  # by far the most frequent case beside single rows
+        ok = s[(np.bitwise_count(f[s] ^ f[s + 1]) <= bits) & (np.bitwise_count(c[s] ^ c[s + 1]) <= check_bits)]
+        a, b = i[ok].tolist(), i[ok + 1].tolist()
+        for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
+            more_a, more_b = _forest(i[s:e], f[s:e], c[s:e], bits, check_bits)
+            a += more_a
+            b += more_b
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of a key may span batches: the last key of a batch waits for the next batch
-        held_k, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def links(k, f):
-            cuts = np.flatnonzero(np.diff(k)) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(k)]))
-            two = ends - starts == 2  # by far the most frequent case beside single rows
-            s = starts[two]
-            ok = np.bitwise_count(f[s] ^ f[s + 1]) <= bits
-            a, b = [f[s][ok]], [f[s + 1][ok]]
-            for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-                if pairs := _forest(f[s:e], bits):
-                    got = np.array(pairs, dtype=np.uint64)
-                    a.append(got[:, 0])
-                    b.append(got[:, 1])
-            a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            k = batch.column(1).to_numpy(zero_copy_only=False)
-            f = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(k):
+            cols = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("key", "id", "fp", *(["check"] if check else []))]
+            if not len(cols[0]):
                 continue
+            k, i, f, c = *cols[:2], *(x.view(np.uint64) for x in (cols[2], cols[-1]))
             cut = int(np.searchsorted(k, k[-1]))  # keys are sorted within the batch
             if cut == 0 and (not waiting or waiting[-1][0][-1] == k[-1]):
-                waiting.append((k, f))
+                waiting.append((k, i, f, c))
                 continue
-            held_k = np.concatenate([*(x[0] for x in waiting), k[:cut]])
-            held_f = np.concatenate([*(x[1] for x in waiting), f[:cut]])
-            if len(held_k):
-                yield links(held_k, held_f)
-            waiting = [(k[cut:], f[cut:])]
+            yield links(*(np.concatenate([*(w[n] for w in waiting), x[:cut]]) for n, x in enumerate((k, i, f, c))))
+            waiting = [tuple(x[cut:] for x in (k, i, f, c))]
         if waiting:
-            yield links(np.concatenate([x[0] for x in waiting]), np.concatenate([x[1] for x in waiting]))
+            yield links(*(np.concatenate([w[n] for w in waiting]) for n in range(4)))
 
     return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
@@ -142,13 +137,48 @@ def simhash_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     fp = written(fingerprints(docs, "__text", width, seed).select("doc_id", "fp"), "fingerprints")
     nodes = written(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
-    links = fingerprint_links(nodes, "fp", bits)
-    # ids instead of fingerprints: a class is then named by its smallest id at once
-    named = (
-        links.join(nodes.select(F.col("fp").alias("a"), F.col("first_id").alias("ia")), "a")
-        .join(nodes.select(F.col("fp").alias("b"), F.col("first_id").alias("ib")), "b")
-        .select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    )
-    comp = connected_components(named)
+    # a fingerprint is named by its smallest id, and so is a class in the end
+    comp = connected_components(fingerprint_links(nodes, "fp", "first_id", bits))
     by_fp = nodes.join(comp, nodes.first_id == comp.node, "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
     return fp.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+#: For keeping one of each group of near copies: fingerprints of single words, repeats included, in which a changed word is
+#: one feature and not one of each shingle, by three seeds; and one of five-word shingles against which links are verified.
+#: Texts of which 0.8 of the five-word shingles are shared differ there in 10 bits, give or take 3; unrelated ones in 32.
+COPY_SEEDS, COPY_WIDTH = (42, 43, 44), 1
+CHECK_WIDTH, CHECK_BITS = 5, 14
+
+
+def near_copy_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, component_id of the documents that have a near copy.
+
+    Two documents are linked if they are within three bits in one of the single-word fingerprints and within CHECK_BITS
+    in the five-word one.  Rows of one id are one document; ids must be longs; rows without an id are left out.  Documents
+    without a word are copies of each other.
+    """
+    names = [f"fp{i}" for i in range(len(COPY_SEEDS))]
+
+    def run(texts: list) -> list:
+        prints = [[fingerprint(t, COPY_WIDTH, s) for t in texts] for s in COPY_SEEDS] + [[fingerprint(t, CHECK_WIDTH) for t in texts]]
+        return [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in prints]
+
+    docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
+    fps = written(map_rows(docs, run, ["__text"], [T.StructField(n, T.LongType(), False) for n in (*names, "check")], keep=["doc_id"]), "copy-fingerprints")
+    nodes = written(fps.groupBy(*names, "check").agg(F.min("doc_id").alias("id")), "copy-nodes")
+    links = None
+    for n in names:
+        found = fingerprint_links(nodes, n, "id", BITS, "check", CHECK_BITS)
+        links = found if links is None else links.union(found)
+    comp = connected_components(links)
+    of_node = nodes.join(comp, nodes.id == comp.node, "left").select(*names, "check", F.coalesce("component", "id").alias("component_id"))
+    return fps.join(of_node, [*names, "check"]).select("doc_id", "component_id")
+
+
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """df without the documents that have a near copy of a smaller id in their class: one document of each class stays.
+
+    Rows that repeat the id that stays all stay, and so do rows without an id.
+    """
+    gone = near_copy_classes(df, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return df.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.common import delete_path, new_path, small_batches, written
+from sheafline.llm.common import delete_path, new_path, prepare, written
 
 #: Revisits are written of payloads of so many bytes and more.
 LEAST = 1000
@@ -266,7 +266,7 @@ def round_trip(df: DataFrame, html: str = "html", url: str = "url", page_id: str
     The one-stream archives are deleted once they are normalised; the normalised ones and their indexes stay, in the folder
     `warc-*` of the shared folder.  An empty table writes no archive and gives an empty result.
     """
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
     spark = df.sparkSession
     raw, folder = new_path(spark, "warc-raw"), new_path(spark, "warc")
     archives = write_archives(with_revisits(df, html, url, page_id), raw)
