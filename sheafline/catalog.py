@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from sheafline.functions import text as X
+from sheafline.functions import time as CLOCK
+from sheafline.operators import chat, grid, subtitle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -14,6 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if it has one."""
+
     def add(fn):
         QUERIES[fn.__name__] = fn
         if sql is not None:
@@ -23,7 +30,364 @@ def query(sql: str | None = None):
     return add
 
 
+# conversations ------------------------------------------------------------------------------------------------------------
+
+MESSAGES = """m AS (
+  SELECT conv_id AS conv, turn AS msg, lower(trim(role)) AS role, coalesce(text, '') AS text FROM conversations
+)"""
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.messages(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def chat_plain_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations").where("role <> 'system'")
-    return said.groupBy("conv_id").agg(F.expr("listagg(text, '\\n\\n') WITHIN GROUP (ORDER BY turn)").alias("transcript"))
+    said = chat.drop_system(_messages(spark, sf_dir))
+    got = said.groupBy("conv").agg(F.expr("listagg(text, '\\n\\n') WITHIN GROUP (ORDER BY msg)").alias("transcript"))
+    return got.select(F.col("conv").alias("conv_id"), "transcript")
+
+
+@query("SELECT conv_id AS conv, turn AS msg, text FROM conversations WHERE role = 'user'")
+def chat_role_filter_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.keep_role(_messages(spark, sf_dir), "user").select("conv", "msg", "text")
+
+
+@query("SELECT conv_id AS conv, turn AS msg, text FROM conversations WHERE role = 'assistant'")
+def chat_role_filter_assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.keep_role(_messages(spark, sf_dir), "assistant").select("conv", "msg", "text")
+
+
+@query("SELECT conv_id AS conv FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'system') = 0")
+def chat_emptied_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir)
+    return chat.emptied(m, chat.keep_role(m, "system"))
+
+
+@query(
+    """SELECT conv_id AS conv, count(*)::BIGINT AS n_messages, count(*) FILTER (role = 'user')::BIGINT AS n_user, count(*) FILTER (role = 'assistant')::BIGINT AS n_assistant,
+    count(*) FILTER (role = 'system')::BIGINT AS n_system, count(*) FILTER (role NOT IN ('user', 'assistant', 'system'))::BIGINT AS n_other,
+    arg_min(left(text, 120), turn) FILTER (trim(text) <> '') AS preview FROM conversations GROUP BY conv_id"""
+)
+def chat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = chat.conversations(_messages(spark, sf_dir))
+    return got.select("conv", "n_messages", "n_user", "n_assistant", "n_system", "n_other", "preview")
+
+
+@query("SELECT count(DISTINCT conv_id)::BIGINT AS n_conversations, count(*)::BIGINT AS n_messages FROM conversations")
+def chat_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.overview(_messages(spark, sf_dir)).select("n_conversations", "n_messages")
+
+
+@query(
+    f"""WITH {MESSAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY msg) AS index FROM m)
+    SELECT conv, msg, '{{"title":"","index":' || index || ',"role":"' || role || '","time":"","text":' || to_json(text) || '}}' AS line FROM n WHERE trim(text) <> ''"""
+)
+def chat_jsonl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.jsonl_rows(_messages(spark, sf_dir))
+
+
+QUOTE = "CASE WHEN regexp_matches({0}, '[\",\\r\\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+LABEL = "CASE role WHEN 'user' THEN '我' WHEN 'assistant' THEN 'AI' WHEN 'system' THEN '系统' WHEN 'tool' THEN '工具' ELSE role END"
+
+
+@query(
+    f"""WITH {MESSAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY msg) AS index FROM m)
+    SELECT conv, msg, ',' || index || ',' || {LABEL} || ',,' || {QUOTE.format("text")} AS line FROM n WHERE trim(text) <> ''"""
+)
+def chat_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.csv_rows(_messages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {MESSAGES} SELECT conv, string_agg({LABEL} || '：' || chr(10) || regexp_replace(trim(text), '(^|\\n)([^\\n])', '\\1  \\2', 'g'), chr(10) || chr(10) ORDER BY msg) AS body
+    FROM m GROUP BY conv"""
+)
+def chat_layout_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.documents(chat.message_blocks(_messages(spark, sf_dir), "chat"))
+
+
+@query(f"WITH {MESSAGES} SELECT conv, string_agg('**' || {LABEL} || '**' || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY msg) AS body FROM m GROUP BY conv")
+def chat_layout_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.documents(chat.message_blocks(_messages(spark, sf_dir), "transcript"))
+
+
+ESCAPE = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(
+    f"""WITH {MESSAGES} SELECT conv, msg, '<div class="message">' || chr(10) || '<div class="meta"><span class="role">' || {LABEL} || '</span></div>' || chr(10) || '<pre class="body">'
+    || {ESCAPE.format("trim(text)")} || '</pre>' || chr(10) || '</div>' AS block FROM m WHERE trim(text) <> ''"""
+)
+def chat_layout_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.message_blocks(_messages(spark, sf_dir), "html").select("conv", "msg", "block")
+
+
+@query("SELECT row_number() OVER (ORDER BY turn, conv_id)::BIGINT AS pos, conv_id AS conv, turn AS msg FROM conversations")
+def chat_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir).withColumn("time", F.timestamp_seconds(F.col("msg") + 1))
+    return chat.timeline(m).select("pos", "conv", "msg")
+
+
+@query(
+    """WITH s AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS fresh FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM s)
+    SELECT conv_id AS conv, role, min(turn) AS msg, count(*)::BIGINT AS n_merged, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM i GROUP BY conv_id, island, role"""
+)
+def chat_island_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.merge_adjacent(_messages(spark, sf_dir)).select("conv", "role", "msg", "n_merged", "text")
+
+
+@query(
+    """WITH o AS (SELECT conv_id AS conv, row_number() OVER (ORDER BY min(length(text)), conv_id)::BIGINT AS conv_pos FROM conversations GROUP BY conv_id)
+    SELECT conv, conv_pos FROM o WHERE conv_pos IN (1, 3, 7, 20)"""
+)
+def chat_select_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir).withColumn("time", F.timestamp_seconds(F.length("text")))
+    return chat.select_conversations(chat.in_order(chat.conversations(m)), [1, 3, 7, 20, 1_000_000_000])[0].select("conv", "conv_pos")
+
+
+# text -----------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""SELECT doc_id, length(text)::BIGINT AS chars, CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(text, '\r\n|\r|\n')) + 1 END::BIGINT AS lines,
+    len(regexp_extract_all(text, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]'))::BIGINT AS cjk, len(regexp_extract_all(text, '[A-Za-z0-9_''’-]+'))::BIGINT AS words FROM documents"""
+)
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in X.text_stats("text").items()))
+
+
+@query(
+    r"""SELECT doc_id, len(regexp_extract_all(left(text, 4000), '\x{FFFD}'))::BIGINT AS replaced, len(regexp_extract_all(left(text, 4000), '[\x{C3}\x{C2}][\x{80}-\x{BF}]|锟斤拷|烫烫烫|屯屯屯'))::BIGINT AS mojibake,
+    len(regexp_extract_all(left(text, 4000), '[\x{E000}-\x{F8FF}]'))::BIGINT AS private FROM documents"""
+)
+def garbled_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = X.garbled_measures("text")
+    return table(spark, sf_dir, "documents").select("doc_id", *(m[k].alias(k) for k in ("replaced", "mojibake", "private")))
+
+
+@query(f"SELECT doc_id, {QUOTE.format('text')} AS cell FROM documents")
+def csv_quote_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.csv_quote("text").alias("cell"))
+
+
+@query(f"SELECT p_partkey, p_partkey || ',' || {QUOTE.format('p_name')} || ',' || {QUOTE.format('p_brand')} || ',' || {QUOTE.format('p_type')} AS line FROM part")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", X.csv_line(F.col("p_partkey").cast("string"), "p_name", "p_brand", "p_type").alias("line"))
+
+
+@query("SELECT p_partkey, '| ' || rpad(p_name, 40, ' ') || ' |' AS line, length(p_name)::INT AS width FROM part")
+def display_width_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("| "), X.pad_display("p_name", F.lit(40)), F.lit(" |"))
+    return table(spark, sf_dir, "part").select("p_partkey", line.alias("line"), X.display_width("p_name").alias("width"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.MD' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '' ELSE '.' END AS path FROM documents)
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'md' WHEN 1 THEN 'gz' ELSE '' END AS ext, doc_id || CASE WHEN doc_id % 4 = 1 THEN '.tar' ELSE '' END AS base FROM d"""
+)
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.when(F.col("doc_id") % 4 == 0, ".MD").when(F.col("doc_id") % 4 == 1, ".tar.gz").when(F.col("doc_id") % 4 == 2, "").otherwise(".")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), tail).alias("path"))
+    return d.select("doc_id", X.ext_of("path").alias("ext"), X.base_name("path").alias("base"))
+
+
+@query(
+    r"""SELECT page_id, lower(regexp_extract(regexp_extract(url, '([^\\/]*)$', 1), '^.+\.([^.]+)$', 1)) AS ext,
+    CASE WHEN regexp_matches(regexp_extract(url, '([^\\/]*)$', 1), '^.+\.[^.]*$') THEN regexp_replace(regexp_extract(url, '([^\\/]*)$', 1), '\.[^.]*$', '') ELSE regexp_extract(url, '([^\\/]*)$', 1) END AS base FROM pages"""
+)
+def url_base_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.ext_of("url").alias("ext"), X.base_name("url").alias("base"))
+
+
+@query(
+    r"""WITH c AS (SELECT page_id, trim(regexp_replace(regexp_replace(url, '[\\/:*?"<>|\x00-\x1f]', '_', 'g'), '\s+', ' ', 'g')) AS n FROM pages), t AS (SELECT page_id, regexp_replace(regexp_replace(n, '^\.+', ''), '\.+$', '') AS n FROM c)
+    SELECT page_id, CASE WHEN n = '' THEN 'untitled' ELSE n END AS name FROM t"""
+)
+def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.safe_file_name("url").alias("name"))
+
+
+@query(
+    """WITH n AS (SELECT doc_id, source || '.txt' AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)
+    SELECT doc_id, CASE WHEN k = 0 THEN name ELSE replace(name, '.txt', '') || '-' || k || '.txt' END AS unique_name FROM n"""
+)
+def unique_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheafline.operators.archive import unique_names
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".txt")).alias("name"))
+    return unique_names(d, "name", "doc_id").select("doc_id", "unique_name")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE CASE WHEN n / 1024.0 >= 100 THEN format('{:.0f}', round((n / 1024.0)::DOUBLE, 0)) ELSE format('{:.1f}', round((n / 1024.0)::DOUBLE, 1)) END || ' KB' END AS size
+    FROM (SELECT doc_id, strlen(text) AS n FROM documents)"""
+)
+def file_sizes_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.format_bytes(F.octet_length("text")).alias("size"))
+
+
+@query(
+    r"""WITH v AS (SELECT p_partkey, unnest([p_partkey::VARCHAR, '00' || p_partkey, p_size || '.50', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'null' END, p_brand]) AS cell, unnest([1, 2, 3, 4, 5]) AS pos FROM part)
+    SELECT p_partkey, pos, CASE WHEN cell IN ('true', 'false') THEN 'boolean' WHEN cell = 'null' THEN 'null' WHEN regexp_matches(cell, '^-?(0|[1-9][0-9]*)(\.[0-9]*[1-9])?$') THEN 'number' ELSE 'string' END AS kind,
+    CASE WHEN cell IN ('true', 'false', 'null') OR regexp_matches(cell, '^-?(0|[1-9][0-9]*)(\.[0-9]*[1-9])?$') THEN cell ELSE to_json(cell)::VARCHAR END AS json FROM v"""
+)
+def coerce_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    cells = F.array(
+        F.col("p_partkey").cast("string"), F.concat(F.lit("00"), F.col("p_partkey").cast("string")), F.concat(F.col("p_size").cast("string"), F.lit(".50")), F.when(F.col("p_size") % 2 == 0, "true").otherwise("null"), F.col("p_brand")
+    )
+    v = p.select("p_partkey", F.posexplode(cells).alias("at", "cell"))
+    return v.select("p_partkey", (F.col("at") + 1).alias("pos"), X.scalar_kind("cell").alias("kind"), X.json_scalar("cell").alias("json"))
+
+
+# grids ------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH c AS (SELECT n_nationkey::VARCHAR AS a, n_name AS b, n_regionkey::VARCHAR AS c, n_nationkey AS o FROM nation), h AS (SELECT 'n_nationkey' AS a, 'n_name' AS b, 'n_regionkey' AS c, -1 AS o UNION ALL SELECT * FROM c),
+    w AS (SELECT greatest(3, max(length(a))) AS wa, greatest(3, max(length(b))) AS wb, greatest(3, max(length(c))) AS wc FROM h), r AS (SELECT *, row_number() OVER (ORDER BY o) AS n FROM h)
+    SELECT n::DOUBLE AS row_pos, '| ' || rpad(a, wa::INT, ' ') || ' | ' || rpad(b, wb::INT, ' ') || ' | ' || rpad(c, wc::INT, ' ') || ' |' AS line FROM r, w
+    UNION ALL SELECT 1.5, '|' || repeat('-', wa::INT + 2) || '|' || repeat('-', wb::INT + 2) || '|' || repeat('-', wc::INT + 2) || '|' FROM w"""
+)
+def md_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.markdown_lines(grid.from_table(table(spark, sf_dir, "nation"), "n_nationkey"))
+
+
+@query(
+    f"""WITH h AS (SELECT 'r_regionkey' AS a, 'r_name' AS b, -1 AS o UNION ALL SELECT r_regionkey::VARCHAR, r_name, r_regionkey FROM region), r AS (SELECT *, row_number() OVER (ORDER BY o)::INT AS row_pos FROM h)
+    SELECT row_pos, CASE WHEN row_pos = 1 THEN '<tr><th style="{grid.HEAD_STYLE}">' || a || '</th><th style="{grid.HEAD_STYLE}">' || b || '</th></tr>'
+    ELSE '<tr><td style="{grid.CELL_STYLE}">' || a || '</td><td style="{grid.CELL_STYLE}">' || b || '</td></tr>' END AS line FROM r"""
+)
+def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.html_rows(grid.from_table(table(spark, sf_dir, "region"), "r_regionkey"))
+
+
+@query("""SELECT (n_nationkey + 2)::INT AS row_pos, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS record FROM nation""")
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.json_records(grid.from_table(table(spark, sf_dir, "nation"), "n_nationkey"))
+
+
+@query("""SELECT s_suppkey, '{"s_suppkey":' || s_suppkey || ',"s_name":' || to_json(s_name) || ',"s_nationkey":' || s_nationkey || '}' AS line FROM supplier""")
+def jsonl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(F.struct("s_suppkey", "s_name", "s_nationkey")).alias("line"))
+
+
+@query(
+    """WITH h AS (SELECT p_size AS tab, p_type AS header, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey)::INT AS pos FROM part),
+    n AS (SELECT *, row_number() OVER (PARTITION BY tab, header ORDER BY pos) AS k FROM h) SELECT tab, pos, header, CASE WHEN k = 1 THEN header ELSE header || '_' || k END AS name FROM n"""
+)
+def header_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("tab")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))), lambda s: s["p_type"]).alias("cells"))
+    return grid.headers(heads.withColumn("row_pos", F.lit(1)), "tab").select("tab", "pos", "header", "name")
+
+
+# HTML -------------------------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.html_title("html").alias("title"))
+
+
+_NOISE = "regexp_replace(html, '(?is)<!--.*?-->', '', 'g')"
+for _t in X.NOISE_TAGS.split("|"):
+    _NOISE = f"regexp_replace({_NOISE}, '(?is)<{_t}\\b[^>]*>.*?</{_t}\\s*>', '', 'g')"
+
+
+@query(f"SELECT page_id, {_NOISE} AS html FROM pages")
+def html_noise_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.strip_noise_html("html").alias("html"))
+
+
+_TEXT = "html"
+for _p, _by in X.HTML_TO_TEXT:
+    _TEXT = f"""regexp_replace({_TEXT}, '{_p.replace("'", "''")}', {"'" + _by.replace("$1", chr(92) + "1") + "'"}, 'g')"""
+for _ref, _ch in X.ENTITIES:
+    _TEXT = f"""replace({_TEXT}, '{_ref}', '{_ch.replace("'", "''")}')"""
+_TEXT = f"regexp_replace(regexp_replace(regexp_replace({_TEXT}, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_TEXT} AS text FROM pages")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.html_to_text("html").alias("text"))
+
+
+@query(f"SELECT doc_id, {ESCAPE.format('text')} AS escaped FROM documents")
+def html_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.html_escape("text").alias("escaped"))
+
+
+# cues -----------------------------------------------------------------------------------------------------------------------------
+
+CUES = """e AS (SELECT event_id, (epoch_us(ts) // 1000) % 86400000 AS start_ms, event_type AS text FROM events),
+c AS (SELECT (event_id + 1)::INT AS idx, start_ms::BIGINT AS start_ms, (start_ms + 500 + event_id % 3000)::BIGINT AS end_ms, text FROM e)"""
+
+
+def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", (F.unix_millis(F.col("ts").cast("timestamp")) % 86400000).alias("start_ms"), F.col("event_type").alias("text"))
+    return e.select((F.col("event_id") + 1).cast("int").alias("idx"), "start_ms", (F.col("start_ms") + 500 + F.col("event_id") % 3000).alias("end_ms"), "text", F.lit("Default").alias("style"))
+
+
+def _clock_sql(ms: str, sep: str) -> str:
+    return f"lpad(({ms} // 3600000)::VARCHAR, 2, '0') || ':' || lpad(({ms} // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad(({ms} // 1000 % 60)::VARCHAR, 2, '0') || '{sep}' || lpad(({ms} % 1000)::VARCHAR, 3, '0')"
+
+
+@query(f"WITH {CUES} SELECT idx, idx || chr(13) || chr(10) || {_clock_sql('start_ms', ',')} || ' --> ' || {_clock_sql('end_ms', ',')} || chr(13) || chr(10) || text AS block FROM c")
+def cue_render_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitle.cue_blocks(_cues(spark, sf_dir), "srt").select("idx", "block")
+
+
+@query(f"WITH {CUES} SELECT idx, {_clock_sql('start_ms', '.')} || ' --> ' || {_clock_sql('end_ms', '.')} || chr(10) || text AS block FROM c")
+def cue_render_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitle.cue_blocks(_cues(spark, sf_dir), "vtt").select("idx", "block")
+
+
+def _ass_sql(ms: str) -> str:
+    return f"({ms} // 3600000) || ':' || lpad(({ms} // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad(({ms} // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad(({ms} // 10 % 100)::VARCHAR, 2, '0')"
+
+
+@query(f"WITH {CUES} SELECT idx, 'Dialogue: 0,' || {_ass_sql('start_ms')} || ',' || {_ass_sql('end_ms')} || ',Default,,0,0,0,,' || text AS block FROM c")
+def cue_render_ass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitle.cue_blocks(_cues(spark, sf_dir), "ass").select("idx", "block")
+
+
+@query(
+    f"""WITH {CUES} SELECT idx, greatest(0, start_ms - 40000000)::BIGINT AS start_ms, greatest(0, end_ms - 40000000, greatest(0, start_ms - 40000000))::BIGINT AS end_ms,
+    start_ms < 40000000 OR end_ms < 40000000 AS clamped FROM c"""
+)
+def cue_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitle.shift(_cues(spark, sf_dir), -40000.0).select("idx", "start_ms", "end_ms", "clamped")
+
+
+@query(
+    f"""WITH {CUES}, k AS (SELECT idx, start_ms // 60000 * 60000 AS start_ms, text FROM c), f AS (SELECT start_ms, text, min(idx) AS first FROM k GROUP BY start_ms, text),
+    g AS (SELECT start_ms, string_agg(text, chr(10) ORDER BY first) AS text, min(first) AS first FROM f GROUP BY start_ms), n AS (SELECT start_ms, count(*)::BIGINT AS n_merged FROM k GROUP BY start_ms)
+    SELECT row_number() OVER (ORDER BY first)::INT AS idx, start_ms::BIGINT AS start_ms, text, n_merged FROM g JOIN n USING (start_ms)"""
+)
+def cue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minute = F.floor(F.col("start_ms") / 60000).cast("long") * 60000
+    c = _cues(spark, sf_dir).withColumn("start_ms", minute).withColumn("end_ms", F.col("start_ms") + 60000)
+    return subtitle.merge_same_times(c).select("idx", "start_ms", "text", "n_merged")
+
+
+@query("WITH l AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM events) SELECT user_id, (event_id + 1)::INT AS idx, event_type AS text FROM l WHERE last IS NULL OR last <> event_type")
+def cue_dedup_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") + 1).cast("int").alias("idx"), F.col("event_type").alias("text"))
+    return subtitle.drop_repeats(e, "user_id").select("user_id", "idx", "text")
+
+
+@query(f"WITH {CUES} SELECT idx, start_ms, end_ms FROM c")
+def timecode_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _cues(spark, sf_dir).select("idx", CLOCK.clock("start_ms", ",").alias("a"), CLOCK.clock("end_ms", ".").alias("b"))
+    return c.select("idx", CLOCK.parse_timecode("a").alias("start_ms"), CLOCK.parse_timecode("b").alias("end_ms"))
+
+
+@query(f"WITH {CUES}, u AS (SELECT c.*, event_id, user_id FROM c JOIN events ON idx = event_id + 1) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY idx)::INT AS idx, start_ms, end_ms, text FROM u")
+def srt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").select((F.col("event_id") + 1).cast("int").alias("idx"), "user_id")
+    c = _cues(spark, sf_dir).join(users, "idx")
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy("idx")).cast("int")
+    files = subtitle.render(c.withColumn("idx", nth), "srt", "user_id")
+    return subtitle.read_srt_vtt(files, "user_id", text="body").select("user_id", "idx", "start_ms", "end_ms", "text")

@@ -109,7 +109,8 @@ def cue_blocks(cues: DataFrame, target: str) -> DataFrame:
         safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
         block = F.concat_ws("\n", arrow("."), safe)
     elif target == "ass":
-        safe = F.replace(F.regexp_replace("text", r"(\{\\[^}]*\})|([{}])", "$1"), F.lit("\n"), F.lit("\\N"))
+        safe = F.regexp_replace(F.regexp_replace("text", r"\{(?!\\)", r"\\{"), r"(?<!\{\\[^{}]{0,255})\}", r"\\}")
+        safe = F.replace(safe, F.lit("\n"), F.lit("\\N"))
         block = F.concat(F.lit("Dialogue: 0,"), CLOCK.ass_clock("start_ms"), F.lit(","), CLOCK.ass_clock("end_ms"), F.lit(","), F.coalesce("style", F.lit(DEFAULT_STYLE)), F.lit(",,0,0,0,,"), safe)
     elif target == "csv":
         block = X.csv_line(F.col("idx").cast("string"), CLOCK.clock("start_ms", "."), CLOCK.clock("end_ms", "."), F.col("text"))
