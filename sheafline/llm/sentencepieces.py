@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -115,67 +116,108 @@ class Coder:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         line = any("\n" in p for p in self.ids)
         self.chunk = re.compile(r".+" if inner else (rf"{SPACE}*[^{SPACE}]+|{SPACE}+" if line else rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"), re.S)
+        self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.single = {c for p in self.ids for c in p}
         self.chunks: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds)]
 
     def merged(self, text: str) -> list[str]:
         """The text's characters merged by rank, leftmost first among equals."""
-        parts = list(text)
-        while True:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                got = self.ids.get(parts[i] + parts[i + 1])
-                if got is not None and (best is None or self.v.scores[got] > best):
-                    best, where = self.v.scores[got], i
-            if best is None:
-                return parts
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
-
-    def _may_follow(self, last: int, piece: int) -> bool:
+        parts, get, scores = list(text), self.ids.get, self.v.scores
+        none = float("-inf")
+
+        def rank(i: int) -> float:
+            got = get(parts[i] + parts[i + 1])
+            return none if got is None else scores[got]
+
+        ranks = [rank(i) for i in range(len(parts) - 1)]
+        while ranks:
+            best = max(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(i - 1)
+            if i < len(ranks):
+                ranks[i] = rank(i)
+        return parts
+
+    def _judge(self, last: int, piece: int) -> bool:
         """Whether merging leaves the two pieces as they are; last is -1 at the beginning and after unknown characters."""
-        key = (last + 1) * len(self.v.pieces) + piece
-        got = self.pairs.get(key)
-        if got is None:
-            own = self.v.pieces[piece]
-            before = [] if last < 0 else [self.v.pieces[last]]
-            got = self.merged("".join(before) + own) == [*before, own]
-            if len(self.pairs) >= 2 * REMEMBERED:
-                self.pairs.clear()
-            self.pairs[key] = got
+        own = self.v.pieces[piece]
+        before = [] if last < 0 else [self.v.pieces[last]]
+        got = self.merged("".join(before) + own) == [*before, own]
+        if len(self.pairs) >= 2 * REMEMBERED:
+            self.pairs.clear()
+        self.pairs[(last + 1) * len(self.v.pieces) + piece] = got
         return got
 
     def path(self, text: str) -> list[int]:
         """Ids of the best path of a text whose spaces are marks; -1 for each character that no piece has."""
         n = len(text)
-        best = [0.0] + [None] * n
-        last = [-1] * (n + 1)  # the piece by which the best path ends
         size = [1] * (n + 1)
-        bpe, scores, may_follow = self.v.model == BPE, self.v.scores, self._may_follow
-        done = 0  # positions before this one have their best score
+        last = self._ranked(text, size) if self.v.model == BPE else self._weighted(text, size)
+        out, at = [], n
+        while at > 0:
+            out.append(-1 if last[at] is None else last[at])
+            at -= size[at]
+        out.reverse()
+        return out
+
+    def _ranked(self, text: str, size: list[int]) -> list[int | None]:
+        """For each position the piece by which its one path ends; arcs score nothing or do not exist.
+
+        A position at which no piece ends comes after a character that no piece has.
+        """
+        last: list[int | None] = [None] * len(size)
+        pairs, many = self.pairs, len(self.v.pieces)
+        for end, (piece, length) in self.automaton.iter(text):
+            end += 1
+            if last[end] is None:
+                before = last[end - length]
+                if before is None:
+                    before = -1
+                fits = pairs.get((before + 1) * many + piece)
+                if fits is None:
+                    fits = self._judge(before, piece)
+                if fits:
+                    last[end], size[end] = piece, length
+        return last
+
+    def _weighted(self, text: str, size: list[int]) -> list[int | None]:
+        """For each position the piece by which its best path ends, by the sum of the pieces' scores."""
+        last: list[int | None] = [None] * len(size)
+        best = [0.0, *([None] * (len(size) - 1))]
+        scores, done = self.v.scores, 0
         for end, (piece, length) in self.automaton.iter(text):
             end += 1
-            while done < end - 1:
+            while done < end - 1:  # positions that have their best score by now; without a piece, an unknown character ends there
                 done += 1
                 if best[done] is None:
                     best[done] = best[done - 1] + self.unknown_score
-            begin = end - length
-            if best[begin] is None:
-                continue
-            if bpe:
-                if best[end] is None and may_follow(last[begin], piece):
-                    best[end], last[end], size[end] = 0.0, piece, length
-            else:
-                score = best[begin] + scores[piece]
-                if best[end] is None or score > best[end]:
-                    best[end], last[end], size[end] = score, piece, length
-        out, at = [], n
-        while at > 0:
-            out.append(last[at])
-            at -= size[at]
-        return out[::-1]
+            score = best[end - length] + scores[piece]
+            unknown = best[end - 1] + self.unknown_score
+            if best[end] is None and unknown > score:
+                best[end] = unknown
+            if best[end] is None or score > best[end]:
+                best[end], last[end], size[end] = score, piece, length
+        return last
 
     def _encode_chunk(self, text: str) -> bytes:
+        """Ids of a chunk, cut once more where two characters stand in no piece side by side: no path crosses that."""
+        beside, known, start, parts = self.beside, self.single, 0, []
+        # words alone are not worth the search; a word and the mark after it are each met again with others
+        for at in range(1, 0 if text[-1].isalpha() else len(text)):
+            # a run of unknown characters may be one id, so it stays together
+            if text[at - 1 : at + 1] not in beside and (text[at - 1] in known or text[at] in known):
+                parts.append(self._known(text[start:at]))
+                start = at
+        if start:
+            parts.append(self._known(text[start:]))
+            return b"".join(parts)
         ids, at = [], 0
         for i in self.path(text):
             if i >= 0:
@@ -187,7 +229,17 @@ class Coder:
                 elif not ids or ids[-1] != self.unknown or at == 0:
                     ids.append(self.unknown)  # a run of unknown characters is one
                 at += 1
-        return np.array(ids, dtype="<i4").tobytes()
+        return array("i", ids).tobytes()
+
+    def _known(self, text: str) -> bytes:
+        got = self.chunks.get(text)
+        if got is None:
+            got = self._encode_chunk(text)
+            if len(text) <= 64:
+                if len(self.chunks) >= REMEMBERED:
+                    self.chunks.clear()
+                self.chunks[text] = got
+        return got
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as 4-byte integers; a null or empty text has none."""
@@ -197,13 +249,7 @@ class Coder:
         out, known = [], self.chunks
         for c in self.chunk.findall(text):
             got = known.get(c)
-            if got is None:
-                got = self._encode_chunk(c)
-                if len(c) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[c] = got
-            out.append(got)
+            out.append(self._known(c) if got is None else got)
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
