@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from sheafline.llm.common import prepare, written
+from sheafline.llm.common import map_rows, prepare, written
 
 #: Fixed values of HTML.
 BLOCKS = frozenset(
@@ -221,6 +222,16 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _pack(lines: list[tuple[str, str]]) -> bytes:
+    """Lines compressed, for the way to other tasks; a line has no newline in it."""
+    return zlib.compress("\n".join(k + t for k, t in lines).encode("utf-8", "surrogatepass"), 6)
+
+
+def _unpack(data: bytes) -> list[tuple[str, str]]:
+    text = zlib.decompress(data).decode("utf-8", "surrogatepass")
+    return [(x[0], x[1:]) for x in text.split("\n")] if text else []
+
+
 def _keys(lines: list[tuple[str, str]]) -> list[str]:
     """What stands for a line where only equality counts."""
     return [xxhash.xxh64_hexdigest(t.encode("utf-8", "surrogatepass")) for _, t in lines]
@@ -248,13 +259,14 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", page_id: str =
     name = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[^/?#]*://)?([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[^/?#]*://)?[^/?#]*([^?#]*)", 1)
     pages = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"), name.alias("host"), path.alias("path"))
-    order = ["host", "path", "page_id", F.xxhash64("html")]
-    dealt = pages.repartitionByRange(*order).sortWithinPartitions(*order)
+    pages = pages.withColumn("tie", F.xxhash64("html"))
+    packed = map_rows(pages, lambda hs: [[_pack(lines_of(h)) for h in hs]], ["html"], [T.StructField("packed", T.BinaryType())], keep=["page_id", "url", "host", "path", "tie"], rows=64)
+    order = ["host", "path", "page_id", "tie"]
+    dealt = packed.repartitionByRange(*order).sortWithinPartitions(*order)
     id_type, keys_type = df.schema[page_id].dataType, T.ArrayType(T.StringType())
     fields = [T.StructField("page_id", id_type), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_shared", T.LongType())]
-    line_type = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))
     side = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("keys", keys_type)])
-    ends = [T.StructField("part", T.LongType()), T.StructField("seat", T.IntegerType()), T.StructField("lines", line_type), T.StructField("own", side), T.StructField("inner", side)]
+    ends = [T.StructField("part", T.LongType()), T.StructField("seat", T.IntegerType()), T.StructField("lines", T.BinaryType()), T.StructField("own", side), T.StructField("inner", side)]
     schema = T.StructType([*fields, *ends])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -277,15 +289,14 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", page_id: str =
             return p.host, p.path, p.keys
 
         def end_row(p: _Page, seat: int, inner: _Page | None):
-            named = [{"kind": k, "text": t} for k, t in p.lines]
             as_side = lambda x: x and {"host": x.host, "path": x.path, "keys": x.keys}
-            rows.append((*p.row, None, None, part, seat, named, as_side(p), as_side(inner)))
+            rows.append((*p.row, None, None, part, seat, _pack(p.lines), as_side(p), as_side(inner)))
 
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 piece = b.slice(at, 64).to_pydict()
-                for i, u, h, host, path in zip(*(piece[c] for c in ("page_id", "url", "html", "host", "path"))):
-                    lines = lines_of(h)
+                for i, u, h, host, path in zip(*(piece[c] for c in ("page_id", "url", "packed", "host", "path"))):
+                    lines = _unpack(h)
                     page = _Page((i, u), host, path, lines, _keys(lines))
                     n += 1
                     if n == 2:
@@ -315,7 +326,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", page_id: str =
         for b in batches:
             got = []
             for i, u, lines, own, before, after in zip(*(b.column(k).to_pylist() for k in range(6))):
-                page = _Page((i, u), own["host"], own["path"], [(x["kind"], x["text"]) for x in lines], own["keys"])
+                page = _Page((i, u), own["host"], own["path"], _unpack(lines), own["keys"])
                 got.append((i, u, *difference(page, *(x and (x["host"], x["path"], x["keys"]) for x in (before, after)))))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*got), out)], schema=out)
