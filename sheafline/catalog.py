@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sheafline import streaming
+from sheafline.functions import encoding
 from sheafline.functions import text as X
 from sheafline.functions import time as CLOCK
-from sheafline.operators import chat, grid, subtitle
+from sheafline.operators import archive, chat, detect, document, grid, image, media, pdf_items, structured, subtitle
+from sheafline.plans import registry
+from sheafline.sources import chat_exports, workbook
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -214,10 +218,8 @@ def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, CASE WHEN k = 0 THEN name ELSE replace(name, '.txt', '') || '-' || k || '.txt' END AS unique_name FROM n"""
 )
 def unique_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sheafline.operators.archive import unique_names
-
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".txt")).alias("name"))
-    return unique_names(d, "name", "doc_id").select("doc_id", "unique_name")
+    return archive.unique_names(d, "name", "doc_id").select("doc_id", "unique_name")
 
 
 @query(
@@ -391,3 +393,205 @@ def srt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("user_id").orderBy("idx")).cast("int")
     files = subtitle.render(c.withColumn("idx", nth), "srt", "user_id")
     return subtitle.read_srt_vtt(files, "user_id", text="body").select("user_id", "idx", "start_ms", "end_ms", "text")
+
+
+# structured values ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_path_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT event_id, 1::INT AS path_pos, 'k' AS path, json_extract_string(props, '$.k') AS leaf FROM events")
+def kv_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structured.paths(table(spark, sf_dir, "events").select("event_id", "props"), "props", ["event_id"]).select("event_id", "path_pos", "path", "leaf")
+
+
+@query("SELECT event_id, 'k = ' || json_extract_string(props, '$.k') || chr(10) AS output FROM events")
+def kv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structured.write(table(spark, sf_dir, "events").select("event_id", "props"), "kv", "props").select("event_id", "output")
+
+
+@query("SELECT DISTINCT unnest(json_keys(props)) AS key FROM events")
+def key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key")).distinct()
+
+
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '","user":{"id":' || user_id || '}}' AS json FROM events""")
+def yaml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, "yaml")
+
+
+@query(ORACLES["yaml_round_trip"])
+def xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, "xml")
+
+
+@query(ORACLES["yaml_round_trip"])
+def ini_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, "ini")
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    value = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"type":"'), F.col("event_type"), F.lit('","user":{"id":'), F.col("user_id").cast("string"), F.lit("}}"))
+    wrote = structured.write(table(spark, sf_dir, "events").select("event_id", value.alias("value")), kind, "value").select("event_id", "output")
+    return structured.read(wrote, kind, "output").select("event_id", "json")
+
+
+@query("SELECT c_mktsegment, string_agg(c_custkey || ' = ' || c_name, chr(10) ORDER BY c_custkey) AS section FROM customer GROUP BY c_mktsegment")
+def ini_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").withColumn("line", F.concat(F.col("c_custkey").cast("string"), F.lit(" = "), F.col("c_name")))
+    return c.groupBy("c_mktsegment").agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY c_custkey)").alias("section"))
+
+
+# detection and routing --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, 'html' AS kind FROM pages")
+def detect_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", detect.text_format("html").alias("kind"))
+
+
+@query("SELECT page_id, strlen(html)::BIGINT AS size, 'html' AS ext, 'text' AS family, 'utf-8' AS encoding, 'txt' AS default_target FROM pages")
+def analyze_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"), F.concat(F.col("page_id").cast("string"), F.lit(".htm")).alias("name"))
+    return detect.analyze(p).select("page_id", "size", "ext", "family", "encoding", "default_target")
+
+
+def _matrix_sql() -> str:
+    rows = sorted({(s, t) for _, _, src, dst in registry.CONVERTERS for s in src.split() for t in dst.split()})
+    values = ", ".join(f"('{s}', '{t}', '{'>'.join(registry.candidates(s, t))}', {repr(registry.DEFAULT_TARGETS[s]) if s in registry.DEFAULT_TARGETS else 'NULL'})" for s, t in rows)
+    return f"SELECT * FROM (VALUES {values}) AS v(source, target, cascade, default_target)"
+
+
+@query(_matrix_sql())
+def registry_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.matrix(spark)
+
+
+# encodings, archives, documents ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, text AS back, 0::BIGINT AS n_lost, 'utf-16le' AS encoding FROM documents")
+def encoding_roundtrip_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encoding.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), "utf-16le")
+    return encoding.with_encoding(made.select("doc_id", "n_lost", "content")).select("doc_id", F.col("text").alias("back"), "n_lost", "encoding")
+
+
+@query("SELECT doc_id, text AS back FROM documents")
+def encoding_roundtrip_gbk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheafline.plans.rows import map_rows
+
+    made = encoding.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), "gb18030").select("doc_id", "content")
+    return map_rows(made, lambda b: (encoding.decode(b, "gb18030"),), ["content"], "back string").select("doc_id", "back")
+
+
+@query(
+    """SELECT n_nationkey % 5 AS box, (row_number() OVER (PARTITION BY n_nationkey % 5 ORDER BY n_nationkey))::INT AS entry_pos, lpad(n_nationkey::VARCHAR, 3, '0') || '.txt' AS entry, strlen(n_name)::BIGINT AS size, n_name AS body
+    FROM nation"""
+)
+def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 5).alias("box"), F.concat(F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.lit(".txt")).alias("name"), F.col("n_name").cast("binary").alias("content"))
+    boxes = archive.bundles(files, "box").select("box", F.col("bundle").alias("content"), F.lit("box.zip").alias("name"))
+    return archive.entries(boxes).select("box", "entry_pos", "entry", "size", F.col("bytes").cast("string").alias("body"))
+
+
+@query("SELECT n_regionkey AS box, count(*)::BIGINT AS n_entries, sum(strlen(n_name))::BIGINT AS total_size, 0::BIGINT AS n_hidden FROM nation GROUP BY n_regionkey")
+def zip_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("box"), F.concat("n_name", F.lit(".txt")).alias("name"), F.col("n_name").cast("binary").alias("content"))
+    boxes = archive.bundles(files, "box").select("box", F.col("bundle").alias("content"), F.lit("box.zip").alias("name"))
+    return archive.manifest(archive.entries(boxes), "box").select("box", "n_entries", "total_size", "n_hidden")
+
+
+@query("SELECT n_regionkey AS book, n_name AS cell, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT AS row_pos FROM nation")
+def workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("book"), F.lit("nations").alias("sheet"), F.lit(1).alias("sheet_pos"), nth.alias("row_pos"), F.array("n_name", F.col("n_nationkey").cast("string")).alias("cells"))
+    books = workbook.write(rows, "book").select("book", "workbook")
+    return workbook.read(books, "workbook").select("book", F.col("cells")[0].alias("cell"), "row_pos")
+
+
+@query()
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document.block_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"]).select("doc_id", "block_pos", "type", "depth", "block")
+
+
+@query()
+def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    return document.read(p, "html").select("page_id", "markdown", "title", "n_images")
+
+
+@query("SELECT n_nationkey, '# ' || n_name || chr(10) || chr(10) || n_regionkey || chr(10) AS markdown FROM nation")
+def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    md = F.concat(F.lit("# "), F.col("n_name"), F.lit("\n\n"), F.col("n_regionkey").cast("string"), F.lit("\n"))
+    made = document.write(table(spark, sf_dir, "nation").select("n_nationkey", md.alias("markdown")), "docx").select("n_nationkey", F.col("output").alias("content"))
+    return document.read(made, "docx").select("n_nationkey", "markdown")
+
+
+@query("SELECT conv_id AS conv, turn AS msg, CASE WHEN role IN ('user', 'assistant', 'system') THEN role ELSE lower(role) END AS role, text FROM conversations WHERE text <> ''")
+def chat_export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").where("text <> ''")
+    item = F.struct(F.col("turn"), F.col("role"), F.col("text").alias("content"))
+    files = said.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("text"), F.array_sort(F.collect_list("turn")).alias("turns"))
+    got = chat_exports.read(files)
+    return got.select(F.col("conv_id").alias("conv"), F.col("turns")[F.col("msg_pos") - 1].alias("msg"), "role", "text")
+
+
+# pictures, pages, media ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT p_partkey, greatest(1, floor(w * s + 0.5))::INT AS width, greatest(1, floor(h * s + 0.5))::INT AS height FROM (SELECT p_partkey, w, h, least(1.0::DOUBLE, 800.0::DOUBLE / greatest(w, h)) AS s FROM
+    (SELECT p_partkey, p_size * 100 AS w, p_partkey % 3000 + 1 AS h FROM part))"""
+)
+def image_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 100).alias("w"), (F.col("p_partkey") % 3000 + 1).alias("h"))
+    w, h = image.plan_columns("w", "h", 800)
+    return p.select("p_partkey", w.alias("width"), h.alias("height"))
+
+
+@query("SELECT p_partkey, list_concat(range(2, 2 + p_size % 7)::INT[], [1]::INT[]) AS selected FROM part WHERE p_size % 7 > 0")
+def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = (F.col("p_size") % 7 + 1).cast("string")
+    p = table(spark, sf_dir, "part").where("p_size % 7 > 0").select("p_partkey", F.concat(F.lit("2-"), last, F.lit("，1,2")).alias("pages"), F.lit(50).alias("n_pages"))
+    return pdf_items.ranges(p).select("p_partkey", "selected")
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT p_size AS k, p_partkey % 60 AS page FROM part), i AS (SELECT *, page - row_number() OVER (PARTITION BY k ORDER BY page) AS island FROM p),
+    r AS (SELECT k, island, min(page) AS a, max(page) AS b FROM i GROUP BY k, island) SELECT k, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, '_' ORDER BY a) AS label FROM r GROUP BY k"""
+)
+def page_run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("k"), (F.col("p_partkey") % 60).alias("page"))
+    return pdf_items.page_runs(p, "k")
+
+
+@query("SELECT p_partkey, ['-y', '-ss', (p_size)::VARCHAR, '-to', '100', '-i', 'a.mp4', '-c', 'copy', p_partkey || '.mp4'] AS argv FROM part")
+def media_argv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = F.create_map(F.lit("start"), F.col("p_size").cast("string"), F.lit("end"), F.lit("1:40"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("trim").alias("action"), F.lit("a.mp4").alias("source"), F.concat(F.col("p_partkey").cast("string"), F.lit(".mp4")).alias("target"), options.alias("options"))
+    return media.commands(p).select("p_partkey", "argv")
+
+
+# event time ---------------------------------------------------------------------------------------------------------------------
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT event_type, epoch_ms(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start_ms, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def window_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = streaming.windowed(_events(spark, sf_dir), "ts", "1 hour", keys=["event_type"], n=F.count("*"))
+    return got.select("event_type", F.unix_millis("window_start").alias("start_ms"), "n")
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g) SELECT user_id, count(*)::BIGINT AS n, (epoch_us(min(ts)))::BIGINT AS start_us FROM s GROUP BY user_id, nth"""
+)
+def window_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = streaming.sessions(_events(spark, sf_dir), "ts", "30 minutes", ["user_id"], n=F.count("*"))
+    return got.select("user_id", "n", F.unix_micros("session_start").alias("start_us"))
