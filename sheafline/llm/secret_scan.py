@@ -2,7 +2,7 @@
 
 Three patterns give the base findings.  Beside them every run of 20 and more key characters is compared under two Markov
 models of character pairs, one of random strings and one of ordinary identifiers; runs whose log-likelihood ratio passes
-the threshold, in total and for each pair, are found as `markov`.  The models are counted from labelled samples; those
+the threshold, in total and for each pair, and that have some variety, are found as `markov`.  The models are counted from labelled samples; those
 given here are random strings of a fixed generator, and identifiers, paths and numbers.
 """
 
@@ -31,6 +31,8 @@ LEAST = 20
 CANDIDATE = rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}"
 #: Log-likelihood ratio (nats) asked for in total and for each character pair.
 TOTAL, EACH = 12.0, 0.6
+#: Rules and fillers, of few different characters, are no secrets however rare their pairs are in names.
+DIFFERENT = 8
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,7 @@ class Model:
 
     def is_secret(self, token: str) -> bool:
         got = self.score(token)
-        return got >= 1000 * TOTAL and got >= 1000 * EACH * (len(token) - 1)
+        return len(set(token)) >= DIFFERENT and got >= 1000 * TOTAL and got >= 1000 * EACH * (len(token) - 1)
 
 
 def train(secrets: list[str], ordinary: list[str]) -> Model:
@@ -131,7 +133,7 @@ def _found(df: DataFrame, text: str, kind: str, order: int, pattern: str, group:
         pair = f"{ratio}[(locate(a, '{ALPHABET}') - 1) * {size} + locate(b, '{ALPHABET}') - 1]"
         chars = f"split(__val[i], '')"
         total = f"aggregate(zip_with(slice({chars}, 1, length(__val[i]) - 1), slice({chars}, 2, length(__val[i]) - 1), (a, b) -> cast({pair} as bigint)), 0L, (s, x) -> s + x)"
-        passed += f" and {total} >= greatest({round(1000 * TOTAL)}, {round(1000 * EACH)} * (length(__val[i]) - 1))"
+        passed += f" and size(array_distinct({chars})) >= {DIFFERENT} and {total} >= greatest({round(1000 * TOTAL)}, {round(1000 * EACH)} * (length(__val[i]) - 1))"
     spans = f"filter(transform(__at, (p, i) -> if({passed}, named_struct('at', p + __gap[i], 'kind_no', {order}, 'kind', '{kind}', 'end', p + __gap[i] + __len[i]), null)), x -> x is not null)"
     return df.withColumn(f"__{kind}", F.expr(spans)).drop("__hit", "__val", "__gap", "__len", "__at")
 
