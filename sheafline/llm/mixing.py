@@ -106,7 +106,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     Equal ids have equal keys.  An empty table gives an empty one.
     """
     docs = written(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")).withColumn("key", mix_key(F.col("doc_id"))), "mix-sizes")
-    cut = cuts(docs, weights=weights, share=share, most=most)
+    cut = written(cuts(docs, weights=weights, share=share, most=most), "mix-cuts")
     got = docs.withColumn("source_key", _name(F.col("source"))).join(cut, "source_key")
     return got.select("doc_id", "size", "source_size", "target", taken(F.col("size"), F.col("key")).alias("taken"))
 
@@ -120,7 +120,8 @@ def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", d
     kept = df.columns
     docs = df.withColumns({"__size": n_words(F.col(text)), "__key": mix_key(F.col(doc_id)), "__source": F.col(source)})
     slim = written(docs.select(F.col("__source").alias("source"), F.col("__key").alias("key"), F.col("__size").alias("size")), "mix-sizes")
-    cut = cuts(slim, weights=weights, share=share, most=most).withColumnRenamed("source_key", "__source_key")
+    # written first: a row a source, whose size Spark then knows, so that where it is small documents stay where they are
+    cut = written(cuts(slim, weights=weights, share=share, most=most), "mix-cuts").withColumnRenamed("source_key", "__source_key")
     got = docs.withColumn("__source_key", _name(F.col("__source"))).join(cut, "__source_key")
     times = F.when(F.col("__size") == 0, 1).otherwise(F.floor(taken(F.col("__size"), F.col("__key")) / F.col("__size") + 0.5)).cast("int")
     return got.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(f"`{c}`" for c in kept))
