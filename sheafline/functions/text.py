@@ -271,6 +271,12 @@ def html_title(html: Column | str) -> Column:
     return F.trim(F.regexp_extract(_c(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+def declared_charset(content: Column | str) -> Column:
+    """The charset that the first kilobyte of an HTML or XML file names, in lower case; empty if none."""
+    head = F.decode(F.substring(_c(content), 1, 1024), "ISO-8859-1")
+    return F.lower(F.regexp_extract(head, r"(?i)(?:charset|encoding)\s*=\s*[\"']?\s*([\w.:-]+)", 1))
+
+
 def html_body(html: Column | str) -> Column:
     """What stands in body, or all of it."""
     b = F.regexp_extract(_c(html), r"(?is)<body[^>]*>(.*?)(?:</body>|$)", 1)
