@@ -145,6 +145,13 @@ def _chat(files: DataFrame, target: str, options: dict) -> DataFrame:
 CONVERTERS: dict[str, Callable[[DataFrame, str, dict], DataFrame]] = {"chat-export": _chat, "table": _table, "archive": _archive, "document": _document, "image": _image, "subtitle": _subtitle, "data": _structured}
 
 
+def register(name: str, priority: int, sources: str, targets: str, fn: Callable[[DataFrame, str, dict], DataFrame]) -> None:
+    """Adds a converter of one's own, or replaces one: fn takes files (id, name, content, ext), a target and options, and gives
+    id, output and, where it may fail, error_code and error_message."""
+    registry.CONVERTERS = (*(c for c in registry.CONVERTERS if c[0] != name), (name, priority, sources, targets))
+    CONVERTERS[name] = lambda files, target, options: _outputs(fn(files, target, options))
+
+
 def convert(files: DataFrame, target: str, converter: str | None = None, **options) -> DataFrame:
     """id, name, converter, target, output, error_code, error_message: one row per file.
 

@@ -45,3 +45,19 @@ def test_binary_targets(spark):
     files = spark.createDataFrame([(1, "a.csv", bytearray(b"a,b\n1,2\n")), (2, "x.md", bytearray(b"# T\n\ntext"))], "id long, name string, content binary")
     assert convert(files.where("id = 1"), "xlsx").first().output[:2] == b"PK"
     assert convert(files.where("id = 2"), "docx").first().output[:2] == b"PK"
+
+
+def test_own_converter(spark):
+    from pyspark.sql import functions as F
+
+    from sheafline.plans import convert as module
+    from sheafline.plans import registry
+
+    before = registry.CONVERTERS
+    try:
+        module.register("shout", 99, "txt", "loud", lambda files, target, options: files.select("id", F.upper(F.col("content").cast("string")).alias("output")))
+        files = spark.createDataFrame([(1, "a.txt", bytearray(b"hey you"))], "id long, name string, content binary")
+        assert bytes(convert(files, "loud").first().output) == b"HEY YOU"
+    finally:
+        registry.CONVERTERS = before
+        module.CONVERTERS.pop("shout")
