@@ -33,8 +33,11 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Chunks and pairs of pieces that a task remembers at most; what is forgotten is computed anew.
+#: Chunks that a task remembers of late and from before, and half of the pairs of pieces, at most; what is forgotten is
+#: computed anew.
 REMEMBERED = 200_000
+#: Marks that close words.
+MARKS = ".,;:!?*#$%&|+=()[]{}<>\"'"
 #: What an unknown character costs below the worst piece, in unigram models.
 UNKNOWN_COST = 10.0
 
@@ -119,6 +122,7 @@ class Coder:
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.single = {c for p in self.ids for c in p}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds)]
 
@@ -207,17 +211,15 @@ class Coder:
         return last
 
     def _encode_chunk(self, text: str) -> bytes:
-        """Ids of a chunk, cut once more where two characters stand in no piece side by side: no path crosses that."""
-        beside, known, start, parts = self.beside, self.single, 0, []
-        # words alone are not worth the search; a word and the mark after it are each met again with others
-        for at in range(1, 0 if text[-1].isalpha() else len(text)):
-            # a run of unknown characters may be one id, so it stays together
-            if text[at - 1 : at + 1] not in beside and (text[at - 1] in known or text[at] in known):
-                parts.append(self._known(text[start:at]))
-                start = at
-        if start:
-            parts.append(self._known(text[start:]))
-            return b"".join(parts)
+        """Ids of a chunk, cut once more before its closing marks if no piece goes on into them: no path crosses that.
+
+        A word and the marks after it are each met again with others.
+        """
+        stem = text.rstrip(MARKS)
+        at = len(stem)
+        # a run of unknown characters may be one id, so it stays together
+        if 0 < at < len(text) and text[at - 1 : at + 1] not in self.beside and (text[at - 1] in self.single or text[at] in self.single):
+            return self._known(stem) + self._known(text[at:])
         ids, at = [], 0
         for i in self.path(text):
             if i >= 0:
@@ -232,11 +234,15 @@ class Coder:
         return array("i", ids).tobytes()
 
     def _known(self, text: str) -> bytes:
+        """Ids of a chunk that is not among the latest: remembered from before, or found."""
         got = self.chunks.get(text)
         if got is None:
-            got = self._encode_chunk(text)
+            got = self.older.get(text)
+            if got is None:
+                got = self._encode_chunk(text)
             if len(text) <= 64:
-                if len(self.chunks) >= REMEMBERED:
+                if len(self.chunks) >= REMEMBERED:  # what was met of late stays for another round
+                    self.older = dict(self.chunks)
                     self.chunks.clear()
                 self.chunks[text] = got
         return got
