@@ -143,36 +143,66 @@ def simhash_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     return fp.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For keeping one of each group of near copies: fingerprints of single words, repeats included, in which a changed word is
-#: one feature and not one of each shingle, by three seeds; and one of five-word shingles against which links are verified.
-#: Texts of which 0.8 of the five-word shingles are shared differ there in 10 bits, give or take 3; unrelated ones in 32.
-COPY_SEEDS, COPY_WIDTH = (42, 43, 44), 1
-CHECK_WIDTH, CHECK_BITS = 5, 14
+#: For keeping one of each group of near copies.  Two texts are near copies if they share NEAR_SHARE (a fraction) of their
+#: different five-word shingles.  Candidates agree in one of BANDS bands of ROWS minima each: of pairs that share just 0.8,
+#: 1 - (1 - 0.8**5)**20 = 0.9996 do, wherever the edits are.
+COPY_WIDTH, NEAR_SHARE = 5, (4, 5)
+BANDS, ROWS = 20, 5
+#: Seeds of single-word fingerprints, by which the tests tell how far texts are apart.
+COPY_SEEDS = (42, 43, 44)
+_FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_FACTORS |= np.uint64(1)
+
+
+def shingle_set(text: str | None, width: int = COPY_WIDTH, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's different shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in shingles(text, width)], dtype=np.uint64))
+
+
+def bands(members: np.ndarray) -> np.ndarray:
+    """A signed long for each band: the hash of its number and of the set's minima under ROWS permutations."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(members), 2048):
+        np.minimum(least, (members[at : at + 2048] * _FACTORS + _ADDENDS).min(1), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def near_copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of all candidates among nodes (id, bands) that are near copies by their whole texts in docs (doc_id, __text).
+
+    Every pair that meets in a band is a candidate, however many meet there.
+    """
+    keys = nodes.select("id", F.explode("bands").alias("key"))
+    met = keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")), "key").where("a < b")
+    pairs = written(met.select("a", "b").distinct(), "copy-pairs")
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = docs.join(named, docs.doc_id == named.id, "left_semi")
+    members = T.StructField("members", T.ArrayType(T.LongType(), False), False)
+    sets = written(map_rows(texts, lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], ["__text"], [members], keep=["doc_id"]), "copy-sets")
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    both = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("total"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+    return both.where(F.col("common") * NEAR_SHARE[1] >= (F.col("total") - F.col("common")) * NEAR_SHARE[0]).select("a", "b")
 
 
 def near_copy_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, component_id of the documents that have a near copy.
+    """doc_id, component_id of the documents.
 
-    Two documents are linked if they are within three bits in one of the single-word fingerprints and within CHECK_BITS
-    in the five-word one.  Rows of one id are one document; ids must be longs; rows without an id are left out.  Documents
-    without a word are copies of each other.
+    Two documents are linked if they share 0.8 of their different five-word shingles, counted exactly; candidates come from
+    minima of the shingles' hashes.  Texts with the same shingles are one node.  Rows of one id are one document; ids must be
+    longs; rows without an id are left out.  Documents without a word are copies of each other.
     """
-    names = [f"fp{i}" for i in range(len(COPY_SEEDS))]
 
     def run(texts: list) -> list:
-        prints = [[fingerprint(t, COPY_WIDTH, s) for t in texts] for s in COPY_SEEDS] + [[fingerprint(t, CHECK_WIDTH) for t in texts]]
-        return [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in prints]
+        sets = [shingle_set(t) for t in texts]
+        return [[xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [bands(x) for x in sets]]
 
+    fields = [T.StructField("digest", T.BinaryType(), False), T.StructField("bands", T.ArrayType(T.LongType(), False), False)]
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    fps = written(map_rows(docs, run, ["__text"], [T.StructField(n, T.LongType(), False) for n in (*names, "check")], keep=["doc_id"]), "copy-fingerprints")
-    nodes = written(fps.groupBy(*names, "check").agg(F.min("doc_id").alias("id")), "copy-nodes")
-    links = None
-    for n in names:
-        found = fingerprint_links(nodes, n, "id", BITS, "check", CHECK_BITS)
-        links = found if links is None else links.union(found)
-    comp = connected_components(links)
-    of_node = nodes.join(comp, nodes.id == comp.node, "left").select(*names, "check", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(of_node, [*names, "check"]).select("doc_id", "component_id")
+    seen = written(map_rows(docs, run, ["__text"], fields, keep=["doc_id"]), "copy-bands")
+    nodes = written(seen.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "copy-nodes")
+    comp = connected_components(near_copy_links(nodes, docs))
+    of_node = nodes.join(comp, nodes.id == comp.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    return seen.select("doc_id", "digest").join(of_node, "digest").select("doc_id", "component_id")
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -207,6 +207,28 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs(spark, ["a", "b"], ids=[None, 1])).count() == 2
 
 
+def _share(a, b):
+    a, b = (set(zip(*(words(t)[i:] for i in range(5)))) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_block_edited_copies_go_and_lesser_ones_stay(spark):
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    pairs = []
+    for k in range(120):
+        w = fresh(200)
+        n = 42 if k < 60 else 70  # words in the block: shares of 0.82 and of 0.74 and less
+        pairs.append((" ".join(w), " ".join([w + fresh(n), w[: -(n * 4 // 5)], w[:60] + fresh(n // 2 - 4) + w[60 + n // 2 - 4 :]][k % 3])))
+    for j in range(20):  # scattered edits far below the bound
+        w = fresh(200)
+        pairs.append((" ".join(w), " ".join(x if i % 18 else "other" for i, x in enumerate(w))))
+    left = {x.doc_id for x in simhash.one_of_each(docs(spark, [t for p in pairs for t in p])).collect()}
+    near = [_share(*p) >= 0.8 for p in pairs]
+    assert 60 <= sum(near) < 100
+    assert left == {2 * i for i in range(len(pairs))} | {2 * i + 1 for i, n in enumerate(near) if not n}
+
+
 def _distance(a, b):
     return min((simhash.fingerprint(a, 1, s) ^ simhash.fingerprint(b, 1, s)).bit_count() for s in simhash.COPY_SEEDS)
 
