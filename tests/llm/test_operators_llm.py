@@ -538,6 +538,37 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
 
+def _all_spans(text, model):
+    """What scan should find, with runs cut at base findings and searched for stretches."""
+    base = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in _spans(text, model)[0].split(",") if x)]
+    more = []
+    for m in re.finditer(secret_scan.CANDIDATE, text or ""):
+        at = m.start()
+        for a, b in [(a, b) for a, _, b in sorted(base, key=lambda x: x[0]) if a < m.end() and m.start() < b] + [(m.end(), m.end())]:
+            more += [(at + x, "markov", at + y) for x, y in model.stretches(text[at : max(at, a)])]
+            at = max(at, b)
+    order = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(base + more, key=lambda x: (x[0], order[x[1]])))
+
+
+def test_secrets_joined_to_other_text(spark):
+    model, r = secret_scan.default_model(), random.Random(4)
+    key = lambda n=32: "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    heads = ["https://hooks.example.com/services/incoming/webhook/", "DATABASE_CONNECTION_AUTH=", "/srv/www/static/assets/images/", "AKIA" + "Q7" * 8 + "/"]
+    made = [(h, key(n), t) for h in heads for n in (24, 32, 40) for t in ("", "/settings/index.html")]
+    texts = [f"see {h}{k}{t} now" for h, k, t in made]
+    more = [f"é {heads[0]}{key()}/services/incoming/webhook/messages/{key()}.json", "0a" * 14 + "/" + key() + "=" + "1b" * 14, heads[0] * 40, "/usr/local/lib/python3/site-packages/" * 9, *(x for x in SECRET if x)]
+    got = {x.doc_id: x for x in secret_scan.redact(secret_scan.scan(docs(spark, texts + more)).withColumn("found", secret_scan.joined("spans"))).collect()}
+    for i, t in enumerate(texts + more):
+        assert got[i].found == _all_spans(t, model), t[:90]
+    gone = lambda k, text: not any(k[j : j + 3] in text for j in range(len(k) - 2))
+    for i, (h, k, t) in enumerate(made):
+        assert gone(k, got[i].text) and got[i].text.startswith("see ") and got[i].text.endswith(" now"), texts[i]
+    n = len(texts)
+    assert got[n].text.count("[SECRET]") == 2 and got[n].text.startswith("é https") and got[n].text.endswith(".json")
+    assert got[n + 1].text.count("[SECRET]") >= 3 and got[n + 2].text == more[2] and got[n + 3].text == more[3]
+
+
 def test_secret_models_tell_samples_apart():
     secrets, ordinary = secret_scan.labelled_samples(1500, 99)
     model = secret_scan.default_model()
