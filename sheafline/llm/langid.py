@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafline.llm.linear import bounded_sample, code_points, letters, logistic
+from sheafline.llm.linear import code_points, letters, logistic, sample
 from sheafline.llm.common import map_rows
 
 PER_LABEL = 250
@@ -141,11 +141,9 @@ def train(texts: list[str], langs: list[str]) -> Model:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", where: Column | None = None, per_label: int = PER_LABEL) -> Model:
     """A model of the rows that `where` admits and that have a language and a text."""
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    if where is not None:
-        rows = rows.where(where)
-    got = bounded_sample(rows.select(doc_id, lang, text), lang, per_label, doc_id).select(lang, text).toPandas()
-    return train(list(got[text]), list(got[lang]))
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if where is None else where))
+    got = sample(rows, rows, lang, per_label, doc_id, text)
+    return train([t for t, _ in got], [x for _, x in got])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -7,21 +7,61 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+#: Bytes of text that a sample may hold of each label.
+MOST_BYTES = 64 << 20
 
-def bounded_sample(df: DataFrame, label: str, per_label: int, doc_id: str = "doc_id", max_labels: int = 1000) -> DataFrame:
-    """About `per_label` rows of each label, or all where there are fewer; which ones follows from a hash of doc_id alone.
 
-    The labels' counts come to the driver, so their number is bounded by max_labels (more is an error).
-    """
-    counts = df.groupBy(label).count().orderBy(label).limit(max_labels + 1).collect()
+def hash_limit(rows: int, of: int) -> int | None:
+    """The signed 64-bit number below which `rows` of `of` evenly spread hashes are expected; None where all are wanted."""
+    return None if rows >= of else ((rows << 64) // of) - (1 << 63)
+
+
+def label_counts(df: DataFrame, label: str, doc_id: str, max_labels: int = 1000) -> dict:
+    """About how many ids each label has.  The labels come to the driver, so more than max_labels of them is an error."""
+    counts = df.groupBy(label).agg(F.approx_count_distinct(doc_id).alias("n")).orderBy(label).limit(max_labels + 1).collect()
     if len(counts) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
-    keep = F.lit(False)
-    spread = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 20))
-    for value, n in counts:
-        keep = keep | ((F.col(label) == F.lit(value)) & (spread < F.lit(int(min(1.0, per_label / n) * (1 << 20)))))
-    return df.where(keep)
+    return {r[0]: r[1] for r in counts}
+
+
+def bounded_ids(df: DataFrame, label: str, per_label: int, doc_id: str, counts: dict) -> DataFrame:
+    """(doc_id, label): of each counted label the `per_label` ids with the least 64-bit hashes, each once, or all of fewer.
+
+    About twice as many pass a limit on the hash first, so that what is ranked is bounded whatever the counts are.
+    """
+    keep, spread = F.lit(False), F.xxhash64(F.col(doc_id))
+    for value, n in counts.items():
+        limit = hash_limit(2 * per_label, n)
+        keep = keep | ((F.col(label) == F.lit(value)) & (F.lit(True) if limit is None else spread < F.lit(limit)))
+    near = df.select(doc_id, label).where(keep).distinct()
+    rank = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id)))
+    return near.withColumn("__rank", rank).where(F.col("__rank") <= per_label).drop("__rank")
+
+
+def sample(ids: DataFrame, docs: DataFrame, label: str, per_label: int, doc_id: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> list[tuple[str, object]]:
+    """(text, label) of a bounded sample of the ids of `ids` (doc_id, label), to learn from, in a fixed order.
+
+    docs: doc_id and text, and label where it is theirs.  At most `per_label` ids a label, the ones of least hash, and no
+    more than `most_bytes` of texts a label, but for one that is longer alone; texts are whole.  An id that stands more than
+    once gives one text.  Null ids, labels and texts are left out.  A label that has ids and gets no text is an error.
+    """
+    ids = ids.select(doc_id, label).where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
+    counts = label_counts(ids, label, doc_id)
+    chosen = bounded_ids(ids, label, per_label, doc_id, counts)
+    on = [doc_id, label] if label in docs.columns else [doc_id]
+    docs = docs.select(*on, text).where(F.col(text).isNotNull())
+    # at most per_label rows for each of max_labels labels, whatever the tables hold
+    met = docs.join(F.broadcast(chosen), on).groupBy(doc_id, label).agg(F.min_by(text, F.xxhash64(text)).alias(text))
+    order = W.partitionBy(label).orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id))
+    size = F.sum(F.octet_length(text).cast("long")).over(order)
+    met = met.withColumns({"__size": size, "__rank": F.row_number().over(order)}).where((F.col("__size") <= most_bytes) | (F.col("__rank") == 1))
+    rows = [(r[0], r[1]) for r in met.select(text, label).collect()]
+    missing = set(counts) - {y for _, y in rows}
+    if missing:
+        raise ValueError(f"no row was sampled for {label} {sorted(missing)}")
+    return sorted(rows, key=lambda r: (r[1], r[0]))
 
 
 @lru_cache(1)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafline.llm.common import WORD_RE, map_rows
-from sheafline.llm.linear import bounded_sample
+from sheafline.llm.linear import sample
 
 PER_LABEL = 600
 #: Of 0 content and 1 boilerplate.
@@ -202,9 +202,9 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "qual
     """A model of the documents that `where` admits and that have a label of 0 or 1; several labels of one id: the least."""
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("__label"))
     docs = df.where(F.col(text).isNotNull() & (F.lit(True) if where is None else where)).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    chosen = bounded_sample(docs.select("__id").join(marks, "__id"), "__label", per_label, "__id")
-    got = docs.join(F.broadcast(chosen), "__id").select("__text", "__label").toPandas()
-    return train(list(got["__text"]), [int(x) for x in got["__label"]])
+    # ids first: the texts are then read for the sample alone, whose size is bounded
+    got = sample(docs.select("__id").join(marks, "__id"), docs, "__label", per_label, "__id", "__text")
+    return train([t for t, _ in got], [int(x) for _, x in got])
 
 
 def judge(df: DataFrame, model: Model, text: str = "text", share: float = SHARE) -> DataFrame:

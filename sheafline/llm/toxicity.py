@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafline.llm.common import map_rows
-from sheafline.llm.linear import bounded_sample, code_points, letters, logistic
+from sheafline.llm.linear import code_points, letters, logistic, sample
 
 PER_LABEL = 2000
 FOLDS = 3
@@ -181,12 +181,8 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(gain, -30, 30)))
 
 
-def label_model(ballot: np.ndarray, start: np.ndarray, rounds: int = 30, anchor: int | None = None) -> LabelModel:
-    """Fits the generative model from a first guess of the classes; no votes or voters give the guess's share.
-
-    A voter named as anchor keeps its full weight, and its estimated accuracies are drawn half way to 0.95: with few rows the
-    classes might else drift to something that the voters agree on better.
-    """
+def label_model(ballot: np.ndarray, start: np.ndarray, rounds: int = 30) -> LabelModel:
+    """Fits the generative model from a first guess of the classes; no votes or voters give the guess's share."""
     n, k = ballot.shape
     say = np.where(ballot < 0, 2, ballot)
     one_hot = np.eye(3)[say]  # rows, voters, what is said
@@ -197,8 +193,6 @@ def label_model(ballot: np.ndarray, start: np.ndarray, rounds: int = 30, anchor:
         prior = float(np.clip(q.mean() if n else 0.5, 1e-3, 1 - 1e-3))
         acc = np.stack([((1 - q)[:, None, None] * one_hot).sum(0), (q[:, None, None] * one_hot).sum(0)]) + 0.5
         acc /= acc.sum(2, keepdims=True)
-        if anchor is not None:
-            acc[:, anchor] = 0.5 * acc[:, anchor] + 0.5 * np.array([[0.94, 0.05, 0.01], [0.05, 0.94, 0.01]])
         # what is left of the votes once the class is known; voters that err together count as fewer
         signed = np.where(ballot < 0, 0, 2 * ballot - 1).astype(float)
         mean = acc[:, :, 1] - acc[:, :, 0]
@@ -207,8 +201,6 @@ def label_model(ballot: np.ndarray, start: np.ndarray, rounds: int = 30, anchor:
         corr = (rest.T @ rest) / max(n, 1) / np.outer(spread, spread)
         np.fill_diagonal(corr, 1)
         weight = 1 / np.abs(corr).clip(0, 1).sum(1)
-        if anchor is not None:
-            weight[anchor] = 1.0
         model = LabelModel(prior, acc, weight, corr)
         new = model.posterior(ballot)
         if n == 0 or np.abs(new - q).max() < 1e-4:
@@ -258,7 +250,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     for k in range(FOLDS):
         ballot[fold == k, :-1] = votes([t for t, f in zip(texts, fold) if f == k], [lexicons[k]])
     ballot[:, -1] = y  # the given labels are one more voter, whose errors are estimated like the others'
-    target = label_model(ballot, 0.9 * y + 0.05, anchor=ballot.shape[1] - 1).posterior(ballot)
+    target = label_model(ballot, 0.9 * y + 0.05).posterior(ballot)
     known = np.union1d(mine(texts, y), np.array([term_hash(w, False) for words in SEEDS.values() for w in words.split()], dtype=np.uint64))
     model = Model(known, np.zeros(len(known) + 1), 0.0)
     x = np.concatenate([model.features(texts[i : i + 64]).astype(np.float32) for i in range(0, len(texts), 64)])
@@ -271,9 +263,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("__label"))
     docs = df.where(F.col(text).isNotNull() & (F.lit(True) if where is None else where)).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     # ids first: the texts are then read for the sample alone, whose size is bounded
-    chosen = bounded_sample(docs.select("__id").join(marks, "__id"), "__label", per_label, "__id")
-    got = docs.join(F.broadcast(chosen), "__id").select("__text", "__label").toPandas()
-    return train(list(got["__text"]), [int(x) for x in got["__label"]])
+    got = sample(docs.select("__id").join(marks, "__id"), docs, "__label", per_label, "__id", "__text")
+    return train([t for t, _ in got], [int(x) for _, x in got])
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
