@@ -32,9 +32,12 @@ ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir.  Where that is unset, as in tests, a temporary folder if the
+    whole of Spark runs in this process; on a cluster, whose machines have temporary folders of their own, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/sheafline-shared"
     return base.rstrip("/")
 
@@ -81,7 +84,8 @@ def prepare(spark: SparkSession, rows: int = 1000) -> None:
 
     The package goes to the executors by way of the shared folder, once an application, so that it need not be installed
     there.  Arrow batches are kept at `rows` rows where the session has Spark's default of 10000, which suits short rows: of
-    texts of several kilobytes such a batch takes tens of megabytes, in the JVM and again in Python.
+    texts of several kilobytes such a batch takes tens of megabytes, in the JVM and again in Python.  That is a setting of
+    the session, and stays; a value of the caller's own is left alone.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
@@ -133,6 +137,77 @@ def map_rows(df: DataFrame, fn: Callable[..., list], inputs: list[str], fields:
     return src.mapInArrow(run, schema)
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """What Spark takes the tables behind df to hold, in bytes; None where it does not know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 60 else None
+
+
+def parts_for(df: DataFrame, rows: int, bytes_each: int = 64 << 20, rows_each: int = 100_000) -> int:
+    """Tasks for a shuffle of df: the session's number, or more where a task would get more than bytes_each (where Spark does
+    not know the size, more than rows_each)."""
+    size = input_bytes(df)
+    wanted = -(-rows // rows_each) if size is None else -(-size // bytes_each)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(wanted, 1 << 17))
+
+
+def _place(key: Column, bounds: Column, n: int) -> Column:
+    """How many of the n sorted bounds are at or below the key, by binary search."""
+    steps = F.sequence(F.lit(1), F.lit(max(1, n).bit_length()))
+    mid = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    halve = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.when(F.get(bounds, mid(s)) <= key, state(mid(s) + 1, s["hi"])).otherwise(state(s["lo"], mid(s))))
+    return F.aggregate(steps, state(F.lit(0), F.lit(n)), halve, lambda s: s["lo"])
+
+
+def ranges(df: DataFrame, key: list[str], tie: list[str], before: bool = False, after: bool = False, wrap: bool = False, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """df dealt out by ranges of `key` and sorted by key and tie within each, nulls first, with __part and __guest.
+
+    __guest is 0 for df's rows.  With `before`, a range begins with a guest (-1), the last row before it; with `after` it ends
+    with a guest (1), the first row after it; with `wrap` the last row of all stands before the first and the other way
+    round.  So a task sees both neighbours of each of its rows in passing, and each range costs two rows more at most.
+    `made` is applied to df and to the guests when the ranges are known, before rows are dealt out.
+
+    Bounds are keys of a sample that is bounded by the number of ranges; what comes to the driver are those and the first
+    and last key of each range.  Rows of equal key and tie are interchangeable neighbours; rows of equal keys share a range.
+    An empty table gives an empty one.
+    """
+    spark, made = df.sparkSession, made or (lambda x: x)
+    rows = df.count()
+    parts = parts_for(df, rows)
+    wanted = 32 * parts
+    keys = F.struct(*(F.col(_q(c)) for c in key))
+    at = df.select(*key)
+    if rows > wanted:
+        at = at.where(F.xxhash64(*key) < F.lit(((wanted << 64) // rows) - (1 << 63)))
+    sample = at.distinct().orderBy(*key).collect()
+    bounds = sorted({i * len(sample) // parts for i in range(1, parts)}) if sample else []
+    kinds = [df.schema[c].dataType for c in key]
+    lit = lambda r: F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(r, kinds, key)))
+    part = _place(keys, F.array(*(lit(sample[i]) for i in bounds)), len(bounds)).cast("int") if bounds else F.lit(0)
+    df = df.withColumn("__part", part)
+    whole = [*key, *tie]
+    edge = F.struct(*whole)
+    edges = df.groupBy("__part").agg(F.min(edge).alias("first"), F.max(edge).alias("last")).orderBy("__part").collect()
+    guests = []
+    for i, e in enumerate(edges):
+        if before and (i or wrap):
+            guests.append((*edges[i - 1]["last"], e["__part"], -1))
+        if after and (i + 1 < len(edges) or wrap):
+            guests.append((*edges[(i + 1) % len(edges)]["first"], e["__part"], 1))
+    out = made(df).withColumn("__guest", F.lit(0))
+    if guests:
+        to = T.StructType([*(T.StructField(f"__k{i}", df.schema[c].dataType) for i, c in enumerate(whole)), T.StructField("__to", T.IntegerType()), T.StructField("__guest", T.IntegerType())])
+        asked = F.broadcast(spark.createDataFrame(guests, to))  # two rows a range
+        on = [F.col(_q(c)).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(whole)]
+        # of rows that are equal in key and tie any one will do
+        met = df.join(asked, on).groupBy("__to", "__guest").agg(F.first(F.struct(*(F.col(_q(c)) for c in df.columns))).alias("__row"))
+        met = made(met.select("__row.*", "__to", "__guest").withColumn("__part", F.col("__to")).drop("__to"))
+        out = out.unionByName(met)
+    return out.repartitionById(parts, F.col("__part")).sortWithinPartitions("__part", "__guest", *whole)
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
