@@ -1,35 +1,44 @@
 """Document fingerprints as Merkle trees over sections and paragraphs (operator 8).
 
-A text is cut into sections (at blank lines and at headings), those into paragraphs (lines), those into pieces: sentences,
-and of long sentences runs of words that end where a word's hash says so.  All cuts follow from the content near them, so an
-edit changes the pieces it touches and no others.  Each piece has a hash, each paragraph the hash of its pieces' hashes,
-each section that of its paragraphs and the root that of the sections: roots test equality, and walking down differing
-branches locates an edit.
-
-The fingerprint is the tree as text: the root, then the sections; a section is its hash, then its paragraphs; a paragraph is
-its hash, then its pieces as hash and length.
+A text is cut into sections (at blank lines and at headings), those into paragraphs (lines), those into pieces.  Pieces end
+where a rolling hash of the last `WINDOW` characters says so, or where they would get too long; they are short at the
+beginning of a text and longer further on, so that short texts have pieces too.  All cuts follow from the characters near
+them, so an edit changes the pieces it touches and few others.
+
+Every hash has 128 bits and is marked with its level: a piece's is of its characters, a paragraph's of its pieces' hashes, a
+section's of its paragraphs' hashes and the root of the sections' hashes.  Roots test equality, and walking down differing
+branches locates an edit.  The fingerprint is the tree as text: the root, then each section's paragraphs with the hash and
+length of each of their pieces; the hashes between follow from those, and reading a fingerprint checks its root.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from base64 import urlsafe_b64encode
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from sheafline.llm.common import prepare, written
+from sheafline.llm.common import prepare, ranges
 
-#: A piece ends after a sentence mark, or after a word of which one in EVERY (by its hash) is an end.
-EVERY = 24
+#: Characters whose hash decides whether a piece ends after the last of them; a power of two.
+WINDOW = 16
+#: From these characters of the text on, one place in 2**bits ends a piece, and no piece is longer than 4 * 2**bits.
+SIZES = ((0, 3), (32, 4), (128, 5), (1024, 6), (8192, 7))
 HEADING = re.compile(r"(?:#{1,6} |\d+(?:\.\d+)*\.? +[A-Z])")
+_FACTOR, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def _hash(level: bytes, data: bytes) -> str:
+    """22 characters; level: 0 piece, 1 paragraph, 2 section, 3 root."""
+    return urlsafe_b64encode(hashlib.blake2b(level + data, digest_size=16).digest())[:22].decode()
 
 
 @dataclass(frozen=True)
@@ -52,69 +61,75 @@ class Tree:
     def __str__(self) -> str:
         parts = [self.root]
         for s in self.sections:
-            parts.append("/" + s.hash)
-            for p in s.paragraphs:
-                parts.append("." + p.hash + "".join(f",{h}{n:x}" for h, n in p.pieces))
+            parts.append("/")
+            parts += ["." + ",".join(f"{h}{n:x}" for h, n in p.pieces) for p in s.paragraphs]
         return "".join(parts)
 
 
-def _is_end(word: str, known: dict[str, bool]) -> bool:
-    got = known.get(word)
-    if got is None:
-        bare = word.rstrip(" ")
-        got = bare[-1:] in ".!?" or xxhash.xxh32_intdigest(bare.encode("utf-8", "surrogatepass")) % EVERY == 0
-        if len(known) > 200_000:
-            known.clear()
-        known[word] = got
-    return got
-
-
-_ENDS: dict[str, bool] = {}
-
+def _built(sections: list[list[list[tuple[str, int]]]]) -> Tree:
+    """The tree above the pieces."""
+    done = []
+    for s in sections:
+        paragraphs = tuple(Paragraph(_hash(b"\1", "".join(h for h, _ in p).encode()), tuple(p)) for p in s)
+        done.append(Section(_hash(b"\2", "".join(p.hash for p in paragraphs).encode()), paragraphs))
+    return Tree(_hash(b"\3", "".join(s.hash for s in done).encode()), tuple(done))
+
+
+def ends(text: str) -> list[int]:
+    """Where pieces end by their content: offsets after their last characters, in order."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    h, factor, width = c * np.uint64(_MIX), _FACTOR, 1
+    while width < WINDOW:  # the hash of twice as many characters, from the two halves
+        h[width:] = h[width:] + h[:-width] * np.uint64(factor)
+        factor = factor * factor & 0xFFFFFFFFFFFFFFFF
+        width *= 2
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX)
+    out = []
+    for (start, bits), (stop, _) in zip(SIZES, (*SIZES[1:], (len(text), 0))):
+        out.append(np.flatnonzero(h[start:stop] >> np.uint64(64 - bits) == 0) + start + 1)
+    return np.concatenate(out).tolist()
 
-def _hash(data: str) -> str:
-    return f"{xxhash.xxh64_intdigest(data.encode('utf-8', 'surrogatepass')) >> 32:08x}"
 
+def _most(at: int) -> int:
+    """The greatest length of a piece that begins at an offset."""
+    return 4 << next(bits for start, bits in reversed(SIZES) if start <= at)
 
-def _paragraph(line: str) -> Paragraph:
-    pieces, run, is_end = [], [], _ENDS.get
-    for word in line.split(" "):
-        run.append(word)
-        if (is_end(word) if word in _ENDS else _is_end(word, _ENDS)):
-            part = " ".join(run)
-            pieces.append((_hash(part), len(part)))
-            run = []
-    if run:
-        part = " ".join(run)
-        pieces.append((_hash(part), len(part)))
-    return Paragraph(_hash(",".join(h for h, _ in pieces)), tuple(pieces))
 
+def tree(text: str | None, known: dict[str, str] | None = None) -> Tree:
+    """The text's tree; a null text is an empty one, whose tree has a root and nothing below.
 
-def tree(text: str | None) -> Tree:
-    """The text's tree; a null text is an empty one, whose tree has a root and nothing below."""
-    sections: list[list[Paragraph]] = []
-    fresh = True
-    for line in (text or "").split("\n") if text else ():
+    known: hashes of pieces, for texts that share some; it grows.
+    """
+    text = text or ""
+    known = {} if known is None else known
+    sections: list[list[list[tuple[str, int]]]] = []
+    cuts, k, at, fresh = ends(text) if text else [], 0, 0, True
+    for line in text.split("\n") if text else ():
         if fresh or HEADING.match(line):
             sections.append([])
         fresh = not line.strip()
-        sections[-1].append(_paragraph(line))
-    done = tuple(Section(_hash(".".join(p.hash for p in s)), tuple(s)) for s in sections)
-    return Tree(hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest()[:32], done)
+        stop, pieces = at + len(line), []
+        while at < stop:
+            while k < len(cuts) and cuts[k] <= at:
+                k += 1
+            end = min(cuts[k] if k < len(cuts) else stop, stop, at + _most(at))
+            part = text[at:end]
+            if (h := known.get(part)) is None:
+                h = known[part] = _hash(b"\0", part.encode("utf-8", "surrogatepass"))
+            pieces.append((h, end - at))
+            at = end
+        at = stop + 1
+        sections[-1].append(pieces)
+    return _built(sections)
 
 
 def parse(fingerprint: str) -> Tree:
-    """The tree of a fingerprint's text."""
+    """The tree of a fingerprint's text; one whose root does not follow from its pieces is an error."""
     root, *sections = fingerprint.split("/")
-    out = []
-    for s in sections:
-        name, *paragraphs = s.split(".")
-        ps = []
-        for p in paragraphs:
-            h, *pieces = p.split(",")
-            ps.append(Paragraph(h, tuple((x[:8], int(x[8:], 16)) for x in pieces)))
-        out.append(Section(name, tuple(ps)))
-    return Tree(root, tuple(out))
+    got = _built([[[(x[:22], int(x[22:], 16)) for x in p.split(",") if x] for p in s.split(".")[1:]] for s in sections])
+    if got.root != root:
+        raise ValueError("the root is not that of the pieces")
+    return got
 
 
 def _leaves(parts: list[Section]) -> Counter:
@@ -128,7 +143,8 @@ def _leaves(parts: list[Section]) -> Counter:
 def likeness(a: Tree, b: Tree) -> float:
     """Twice the code points of the pieces that both have, of those of both; equal roots are 1.
 
-    Branches with equal hashes are taken as a whole; pieces are compared only below branches that differ.
+    Branches with equal hashes are taken as a whole; pieces are compared only below branches that differ.  Trees without a
+    character (but not equal) are 0.
     """
     if a.root == b.root:
         return 1.0
@@ -149,7 +165,7 @@ def likeness(a: Tree, b: Tree) -> float:
     left_a, shared, size_a = rest(a.sections, same_sections)
     left_b, _, size_b = rest(b.sections, same_sections)
     shared += sum(k * n for (_, k), n in (_leaves(left_a) & _leaves(left_b)).items())
-    return 2 * shared / (size_a + size_b) if size_a + size_b else 1.0
+    return 2 * shared / (size_a + size_b) if size_a + size_b else 0.0
 
 
 def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
@@ -167,79 +183,41 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _row(doc_id, text: str, own: Tree, following: str, next_tree: Tree) -> tuple:
-    new = edited(text, following)
-    new_tree = tree(new)
-    sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-    # the two fingerprints in one string: most of the second repeats the first, which compression finds only side by side
-    return doc_id, len(text), sha, f"{own} {new_tree}", likeness(own, new_tree), likeness(own, next_tree)
-
-
-OUT = ("doc_id", "n_chars", "edited_sha256", "fingerprints", "near_edited", "near_next")
-
-
 def fingerprint_pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per document its fingerprint, that of its edited text, and its likeness to that and to the next document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: one row per document.
 
     Documents stand by descending id, nulls last; equal ids stand by their texts' hashes, equal rows in any order.  The next
-    document of the last is the first; a single document is its own next.  A null text is an empty one.
+    document of the last is the first; a single document is its own next.  A null text is an empty one; other columns are
+    left out.
 
-    Texts are dealt out by ranges of the id and sorted within them once.  Each task pairs neighbours as they pass; the last
-    document of a range meets its next, the first of the range that follows, in a small table of ends: two rows a task.
+    Texts are dealt out by ranges of the id and sorted within them once.  Each task pairs neighbours as they pass; a range
+    begins with a copy of the row that stands before it, so nothing has to be joined afterwards.
     """
     prepare(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    id_type = df.schema[doc_id].dataType
-    fields = [T.StructField("doc_id", id_type), T.StructField("n_chars", T.LongType()), *(T.StructField(n, T.StringType()) for n in OUT[2:4]), *(T.StructField(n, T.DoubleType()) for n in OUT[4:])]
-    ends = [T.StructField("part", T.LongType()), T.StructField("first_text", T.StringType()), T.StructField("last_text", T.StringType())]
-    schema = T.StructType([*fields, *ends])
+    # by ascending id the next document is the one before
+    dealt = ranges(docs, ["doc_id"], ["tie"], before=True, wrap=True).select("doc_id", "text", "__guest")
+    strings, doubles = ("edited_sha256", "fingerprint", "edited_fingerprint"), ("near_edited", "near_next")
+    schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_chars", T.LongType()), *(T.StructField(n, T.StringType()) for n in strings), *(T.StructField(n, T.DoubleType()) for n in doubles)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        first = last = None
-        rows: list[tuple] = []
-
-        def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-            rows.clear()
-            return out
-
+        following, next_tree = "", tree("")
         for b in batches:
             for at in range(0, b.num_rows, 128):
-                piece = b.slice(at, 128)
-                for i, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    own = tree(t)
-                    if last is None:
-                        first = t
-                    else:
-                        rows.append((*_row(*last, t, own), None, None, None))
-                    last = (i, t, own)
+                rows = []
+                for i, t, guest in zip(*(x.to_pylist() for x in b.slice(at, 128).columns)):
+                    known: dict[str, str] = {}
+                    own = tree(t, known)
+                    if not guest:
+                        new = edited(t, following)
+                        new_tree = tree(new, known)
+                        sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+                        rows.append((i, len(t), sha, str(own), str(new_tree), likeness(own, new_tree), likeness(own, next_tree)))
+                    following, next_tree = t, own
                 if rows:
-                    yield batch()
-        if last is not None:
-            rows.append((last[0], *[None] * (len(OUT) - 1), part, first, last[1]))
-            yield batch()
-
-    both = written(dealt.mapInArrow(run, schema), "fingerprints")
-    ends = both.where("part is not null").select("doc_id", "part", "first_text", "last_text")
-    following = F.coalesce(F.lead("first_text").over(W.partitionBy().orderBy("part")), F.first("first_text").over(W.partitionBy().orderBy("part")))
-    ends = ends.withColumn("next_text", following)
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema(list(arrow)[: len(OUT)])
-        for b in batches:
-            got = [_row(i, t, tree(t), n, tree(n)) for i, t, n in zip(*(b.column(k).to_pylist() for k in range(3)))]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*got), out)], schema=out)
-
-    closed = ends.select("doc_id", "last_text", "next_text").mapInArrow(close, T.StructType(fields))
-    got = both.where("part is null").select(*OUT).unionByName(closed)
-    two = F.split("fingerprints", " ")
-    return got.select("doc_id", "n_chars", "edited_sha256", two[0].alias("fingerprint"), two[1].alias("edited_fingerprint"), "near_edited", "near_next")
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return dealt.mapInArrow(run, schema)
