@@ -3,12 +3,13 @@
 A page is read into text lines, one for each block, each with the kind of element it stands in.  Pages of a host stand in
 the order of their paths; each is paired with that neighbour whose path shares more leading characters with its own (the
 earlier one where both share as many), and the two pages' lines are aligned by their longest common subsequence.  Lines
-that both have are the site's and are deleted.
+that both have are the site's: differencing proposes to delete them.
 
 Differencing alone cannot give right results where a site writes each page's menu or advert anew, or where two pages of a
-site carry the same paragraph.  So elements speak too: lines in an article (or, without one, in main) are never deleted for
-being shared, and lines in elements that hold no main text (menus, footers, forms and the like) go in any case, as do all
-lines outside the article of a page that has one.
+site carry the same paragraph.  So elements speak too: lines in an article (or, without one, in main) are kept though they
+are shared, and lines in elements that hold no main text (menus, footers, forms and the like) go in any case, as do all
+lines outside the article of a page that has one.  Each page's row counts the lines that went for being shared, those that
+went by their elements alone, and those that elements kept.
 """
 
 from __future__ import annotations
@@ -16,18 +17,18 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
-from sheafline.llm.common import map_rows, prepare, written
+from sheafline.llm.common import map_rows, prepare, ranges
 
 #: Fixed values of HTML.
 BLOCKS = frozenset(
@@ -35,16 +36,18 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object select".split())
+#: Elements whose content is not text of the page; the first two last to the page's end where they are left open.
+RAW = frozenset("script style textarea title template iframe noembed noframes svg".split())
+TO_THE_END = frozenset(("script", "style"))
 #: Elements, classes and roles whose text is not main text.
-OFF_TAGS = frozenset("nav footer aside form menu dialog button head search".split())
+OFF_TAGS = frozenset("nav footer aside form menu dialog button select head search".split())
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 OFF_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar "
     "navigation menu menus breadcrumb breadcrumbs sidebar aside footer masthead topbar comment comments respond disqus newsletter subscribe signup share sharing social related recommended "
     "pagination pager".split()
 )
-PARAGRAPH_ENDS = BLOCKS - {"body", "html"}
+PARAGRAPH_ENDS = BLOCKS - {"body", "html", "option", "optgroup"}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|</?[A-Za-z][^<>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
@@ -88,6 +91,13 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
     stack: list[tuple[str, str]] = []  # tag, kind of its text
     parts: list[str] = []
     kind, at = LOOSE, 0
+    opened: Counter = Counter()  # the tags on the stack
+    unclosed: set[str] = set()  # raw elements of which no end is left in the page
+
+    def leave():
+        tag, _ = stack.pop()
+        opened[tag] -= 1
+        return tag
 
     def end_block():
         if parts:
@@ -109,19 +119,25 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
             continue
         tag = tag.lower()
         if m.group(1):
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 if tag in BLOCKS:
                     end_block()
-                while stack.pop()[0] != tag:
+                while leave() != tag:
                     pass
-                kind = stack[-1][1] if stack else LOOSE
+                around = stack[-1][1] if stack else LOOSE
+                if around != kind:  # an inline element that was off: its text is no part of the block around it
+                    end_block()
+                kind = around
             elif tag in BLOCKS:
                 end_block()
             continue
         if tag in RAW:
-            closing = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = page.find(">", closing.start()) + 1 if closing else len(page)
-            at = at or len(page)
+            closing = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            if closing:
+                at = page.find(">", closing.start()) + 1 or len(page)
+            else:
+                unclosed.add(tag)
+                at = len(page) if tag in TO_THE_END else at
             parts.append(" ")
             continue
         if tag in ("br", "td", "th"):
@@ -129,12 +145,12 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
         if tag in BLOCKS:
             end_block()
             if tag in PARAGRAPH_ENDS and any(t == "p" for t, _ in stack[-8:]):
-                while stack.pop()[0] != "p":
+                while leave() != "p":
                     pass
                 kind = stack[-1][1] if stack else LOOSE
             if tag in ("article", "main"):
                 while kind == OFF:
-                    stack.pop()
+                    leave()
                     kind = stack[-1][1] if stack else LOOSE
         if tag in VOID:
             continue
@@ -147,67 +163,107 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
                 below = MAIN
             below = _off(tag, attributes, below in (ARTICLE, MAIN)) or below
         stack.append((tag, below))
+        opened[tag] += 1
         if tag in BLOCKS or below == kind:
             kind = below
         else:  # an inline element that is off: its text is a block of its own
             end_block()
             kind = below
         if attributes.endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "em", "strong", "span"):
-            stack.pop()
+            leave()
             kind = stack[-1][1] if stack else LOOSE
     end_block()
     return out
 
 
-def shared(own: list[str], other: list[str]) -> list[bool]:
-    """Which of own's lines are in the longest common subsequence with other's.
+#: Bytes of bit vectors that an alignment may hold; longer ones are made in halves.
+HELD = 32 << 20
 
-    Equal lines are told apart by their number of occurrence, so the alignment is a longest increasing subsequence and takes
-    time n log n however often a line recurs.
-    """
-    seen: dict[str, int] = {}
-    place: dict[tuple[str, int], int] = {}
+
+def _rows(own: list[str], other: list[str], keep: bool) -> list[int]:
+    """A bit vector for each line of own, or the last one only: bit j is 0 where the longest common subsequence of the lines
+    so far grows with the j-th line of other.  Lines of other are bits of one integer, so a line costs one sum."""
+    at: dict[str, int] = {}
     for j, line in enumerate(other):
-        n = seen[line] = seen.get(line, 0) + 1
-        place[line, n] = j
-    seen.clear()
-    tails: list[int] = []  # least end of an increasing run of each length
-    tail_at: list[int] = []
-    back: dict[int, int] = {}
-    for i, line in enumerate(own):
-        n = seen[line] = seen.get(line, 0) + 1
-        j = place.get((line, n))
-        if j is None:
-            continue
-        k = bisect_left(tails, j)
-        if k == len(tails):
-            tails.append(j)
-            tail_at.append(i)
+        at[line] = at.get(line, 0) | 1 << j
+    all_ones = (1 << len(other)) - 1
+    v, out = all_ones, []
+    for line in own:
+        u = v & at.get(line, 0)
+        v = (v + u | v - u) & all_ones
+        if keep:
+            out.append(v)
+    return out if keep else [v]
+
+
+def _lengths(own: list[str], other: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of own with each beginning of other."""
+    v, n = _rows(own, other, False)[0], len(other)
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _align(own: list[str], other: list[str], first: int, out: list[bool]) -> None:
+    """Sets out at the places (from first on) of own's lines in a longest common subsequence."""
+    while own and other and own[-1] == other[-1]:
+        out[first + len(own) - 1] = True
+        own, other = own[:-1], other[:-1]
+    k = 0
+    while k < min(len(own), len(other)) and own[k] == other[k]:
+        out[first + k] = True
+        k += 1
+    own, other, first = own[k:], other[k:], first + k
+    if not own or not other:
+        return
+    if len(own) > 1 and len(own) * len(other) > 8 * HELD:
+        half = len(own) // 2
+        sums = _lengths(own[:half], other) + _lengths(own[half:][::-1], other[::-1])[::-1]
+        cut = int(sums.argmax())
+        _align(own[:half], other[:cut], first, out)
+        _align(own[half:], other[cut:], first + half, out)
+        return
+    rows = _rows(own, other, True)
+    i, j = len(own), len(other)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> j - 1 & 1:
+            i -= 1
         else:
-            tails[k], tail_at[k] = j, i
-        if k:
-            back[i] = tail_at[k - 1]
+            out[first + i - 1] = True
+            i, j = i - 1, j - 1
+
+
+def shared(own: list[str], other: list[str]) -> list[bool]:
+    """Which of own's lines are in a longest common subsequence with other's.
+
+    Lines that the other page does not have are left out first.  Time is the product of what is left, by words of bits;
+    memory is bounded by HELD, beyond which the alignment is cut at its middle and each half aligned by itself.
+    """
     out = [False] * len(own)
-    i = tail_at[-1] if tail_at else None
-    while i is not None:
-        out[i] = True
-        i = back.get(i)
+    both = set(own) & set(other)
+    places = [i for i, x in enumerate(own) if x in both]
+    got = [False] * len(places)
+    _align([own[i] for i in places], [x for x in other if x in both], 0, got)
+    for i, s in zip(places, got):
+        out[i] = s
     return out
 
 
-def main_text(lines: list[tuple[str, str]], is_shared: list[bool]) -> tuple[str, int]:
-    """What is left of a page's lines, joined by newlines, and how many lines went for being shared."""
+def main_text(lines: list[tuple[str, str]], is_shared: list[bool]) -> tuple[str, int, int, int]:
+    """What is left of a page's lines, joined by newlines; how many lines went for being shared, how many that are not
+    shared went by their elements, and how many shared ones elements kept."""
     kinds = {k for k, _ in lines}
     core = ARTICLE if ARTICLE in kinds else MAIN if MAIN in kinds else None
-    gone = sum(s and k != core for s, (k, _) in zip(is_shared, lines))
-    if core:
-        return "\n".join(t for k, t in lines if k == core), gone
-    return "\n".join(t for s, (k, t) in zip(is_shared, lines) if k == LOOSE and not s), gone
+    stays = [k == core if core else k == LOOSE and not s for s, (k, _) in zip(is_shared, lines)]
+    text = "\n".join(t for keep, (_, t) in zip(stays, lines) if keep)
+    return text, *(sum(s == a and keep == b for s, keep in zip(is_shared, stays)) for a, b in ((True, False), (False, False), (True, True)))
 
 
 @dataclass
 class _Page:
-    row: tuple
+    page_id: object
+    url: str | None
     host: str
     path: str
     lines: list[tuple[str, str]]
@@ -237,101 +293,69 @@ def _keys(lines: list[tuple[str, str]]) -> list[str]:
     return [xxhash.xxh64_hexdigest(t.encode("utf-8", "surrogatepass")) for _, t in lines]
 
 
-def difference(page: _Page, before: tuple[str, str, list[str]] | None, after: tuple[str, str, list[str]] | None) -> tuple[str, int]:
-    """Main text of a page given its neighbours' host, path and line keys."""
-    near = [x for x in (before, after) if x is not None and x[0] == page.host and page.host]
-    best = max(near, key=lambda x: _common(page.path, x[1]), default=None)
-    return main_text(page.lines, shared(page.keys, best[2]) if best else [False] * len(page.lines))
+def difference(page: _Page, before: _Page | None, after: _Page | None) -> tuple[str, int, int, int]:
+    """main_text of a page given its neighbours."""
+    near = [x for x in (before, after) if x is not None and x.host == page.host and page.host]
+    best = max(near, key=lambda x: _common(page.path, x.path), default=None)
+    return main_text(page.lines, shared(page.keys, best.keys) if best else [False] * len(page.lines))
 
 
 def extract(df: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
-    """page_id, url, text, n_chars, n_shared: one row per page.
+    """page_id, url, text, n_chars, n_shared, n_elements, n_kept: one row per page.
 
-    n_shared counts the lines deleted for being shared with the nearest page.  A null or empty html has an empty text.  A
-    page whose url is null or has no host, or that is alone in its host, is paired with none.  Equal urls stand by page_id,
-    then by the html's hash; repeated rows are pages of their own.
+    n_shared counts the lines deleted for being shared with the nearest page, n_elements those deleted by their elements
+    alone, n_kept the shared ones that elements kept.  A null or empty html has an empty text.  A page whose url is null or
+    has no host, or that is alone in its host, is paired with none.  Equal urls stand by page_id, then by the html's hash;
+    repeated rows are pages of their own.  Other columns are left out.
 
-    Pages are dealt out by ranges of host and path, so a large host is spread over many tasks; each task pairs pages as they
-    pass, and the first and last page of a range meet their missing neighbours in a small table of ends, where the
-    neighbours are lists of line keys.
+    Pages are dealt out by ranges of host and path, so a large host is spread over many tasks; each page is parsed once,
+    before it is dealt out, and each range has a copy of the page on either side, so nothing has to be joined afterwards.
     """
     prepare(df.sparkSession)
     name = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[^/?#]*://)?([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[^/?#]*://)?[^/?#]*([^?#]*)", 1)
     pages = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"), name.alias("host"), path.alias("path"))
     pages = pages.withColumn("tie", F.xxhash64("html"))
-    packed = map_rows(pages, lambda hs: [[_pack(lines_of(h)) for h in hs]], ["html"], [T.StructField("packed", T.BinaryType())], keep=["page_id", "url", "host", "path", "tie"], rows=64)
-    order = ["host", "path", "page_id", "tie"]
-    dealt = packed.repartitionByRange(*order).sortWithinPartitions(*order)
-    id_type, keys_type = df.schema[page_id].dataType, T.ArrayType(T.StringType())
-    fields = [T.StructField("page_id", id_type), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_shared", T.LongType())]
-    side = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("keys", keys_type)])
-    ends = [T.StructField("part", T.LongType()), T.StructField("seat", T.IntegerType()), T.StructField("lines", T.BinaryType()), T.StructField("own", side), T.StructField("inner", side)]
-    schema = T.StructType([*fields, *ends])
+
+    def parsed(x: DataFrame) -> DataFrame:
+        keep = [c for c in x.columns if c != "html"]
+        return map_rows(x, lambda hs: [[_pack(lines_of(h)) for h in hs]], ["html"], [T.StructField("packed", T.BinaryType())], keep=keep, rows=64)
+
+    key = ["host", "path", "page_id"]
+    dealt = ranges(pages, key, ["tie"], before=True, after=True, made=parsed).select("page_id", "url", "host", "path", "packed", "__guest", "__part")
+    counts = ("n_shared", "n_elements", "n_kept")
+    schema = T.StructType([T.StructField("page_id", df.schema[page_id].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), *(T.StructField(n, T.LongType()) for n in counts)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
+        seen: list[tuple[int, int, _Page]] = []  # the row before the one that waits for its next, and that one
         rows: list[tuple] = []
-        held: list[_Page] = []  # the last page and the one before it
-        n = 0
 
-        def emit():
+        def settle(following: tuple[int, int, _Page] | None):
+            """The waiting row's result, now that the row after it is known."""
+            if seen and not seen[-1][1]:
+                part, _, page = seen[-1]
+                near = [x[2] if x and x[0] == part else None for x in (seen[-2] if len(seen) > 1 else None, following)]
+                rows.append((page.page_id, page.url, *difference(page, *near)))
+
+        def batch():
             out = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
             rows.clear()
             return out
 
-        def brief(p: _Page):
-            return p.host, p.path, p.keys
-
-        def end_row(p: _Page, seat: int, inner: _Page | None):
-            as_side = lambda x: x and {"host": x.host, "path": x.path, "keys": x.keys}
-            rows.append((*p.row, None, None, part, seat, _pack(p.lines), as_side(p), as_side(inner)))
-
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                piece = b.slice(at, 64).to_pydict()
-                for i, u, h, host, path in zip(*(piece[c] for c in ("page_id", "url", "packed", "host", "path"))):
-                    lines = _unpack(h)
-                    page = _Page((i, u), host, path, lines, _keys(lines))
-                    n += 1
-                    if n == 2:
-                        end_row(held[-1], 0, page)
-                    elif n > 2:
-                        rows.append((*held[-1].row, *difference(held[-1], brief(held[-2]), brief(page)), None, None, None, None, None))
-                    held = [*held[-1:], page]
+                for i, u, host, path, packed, guest, part in zip(*(x.to_pylist() for x in b.slice(at, 64).columns)):
+                    lines = _unpack(packed)
+                    now = (part, guest, _Page(i, u, host, path, lines, _keys(lines)))
+                    settle(now)
+                    seen = [*seen[-1:], now]
                 if rows:
-                    yield emit()
-        if n == 1:
-            end_row(held[-1], 0, None)
-        elif n:
-            end_row(held[-1], 1, held[-2])
+                    yield batch()
+        settle(None)
         if rows:
-            yield emit()
-
-    both = written(dealt.mapInArrow(run, schema), "pages")
-    by_seat = W.partitionBy().orderBy("part", "seat")
-    # a first page misses what stands before it, a last page what stands after it, a page alone in its task both
-    ends = both.where("part is not null").select("page_id", "url", "lines", "own", "inner", "seat", "part")
-    ends = ends.withColumns({"before": F.lag("own").over(by_seat), "after": F.lead("own").over(by_seat)})
-    inner_after = (F.col("seat") == 0) & F.col("inner").isNotNull()
-    ends = ends.select("page_id", "url", "lines", "own", F.when(F.col("seat") == 1, F.col("inner")).otherwise(F.col("before")).alias("before"), F.when(inner_after, F.col("inner")).otherwise(F.col("after")).alias("after"))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema(list(arrow)[: len(fields)])
-        for b in batches:
-            got = []
-            for i, u, lines, own, before, after in zip(*(b.column(k).to_pylist() for k in range(6))):
-                page = _Page((i, u), own["host"], own["path"], _unpack(lines), own["keys"])
-                got.append((i, u, *difference(page, *(x and (x["host"], x["path"], x["keys"]) for x in (before, after)))))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*got), out)], schema=out)
-
-    closed = ends.mapInArrow(close, T.StructType(fields))
-    names = [f.name for f in fields]
-    got = both.where("part is null").select(*names).unionByName(closed)
-    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+            yield batch()
+
+    return dealt.mapInArrow(run, schema).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), *counts)
