@@ -200,7 +200,10 @@ def label_model(ballot: np.ndarray, start: np.ndarray, rounds: int = 30) -> Labe
         spread = np.sqrt((rest**2).mean(0)) + 1e-9 if n else np.ones(k)
         corr = (rest.T @ rest) / max(n, 1) / np.outer(spread, spread)
         np.fill_diagonal(corr, 1)
-        weight = 1 / np.abs(corr).clip(0, 1).sum(1)
+        # what chance alone makes of so many rows is no correlation
+        beyond = (np.abs(corr) - 2 / np.sqrt(max(n, 1))).clip(0, 1)
+        np.fill_diagonal(beyond, 1)
+        weight = 1 / beyond.sum(1)
         model = LabelModel(prior, acc, weight, corr)
         new = model.posterior(ballot)
         if n == 0 or np.abs(new - q).max() < 1e-4:
