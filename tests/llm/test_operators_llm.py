@@ -1,10 +1,14 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import base64
 import gzip
 import hashlib
 import io
+import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafline.llm import common, graph, html_extract, langid, merkle, mixing, quality, queries, secret_scan, sentencepieces, simhash, toxicity, warc
+from sheafline.llm import common, graph, html_extract, langid, linear, merkle, mixing, quality, queries, secret_scan, sentencepieces, simhash, toxicity, warc
 
 LONG = "long " * 20_000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, packed string, ids string"
@@ -60,6 +64,61 @@ def test_no_edges(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# ranges and samples
+
+
+@pytest.mark.parametrize("seed,n", [(0, 0), (1, 1), (2, 2), (3, 60), (4, 400)])
+def test_ranges_show_each_row_its_neighbours(spark, seed, n):
+    r = random.Random(seed)
+    rows = [(r.choice([None, *range(n)]), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, t long").repartition(7)
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    for wrap in (False, True):
+        parts = {}
+        for x in common.ranges(df, ["k"], ["t"], before=True, after=True, wrap=wrap).collect():
+            parts.setdefault(x["__part"], []).append((x["__guest"], (x.k, x.t)))
+        seen = {}
+        for p in parts.values():  # a partition comes whole and in its order
+            assert [g for g, _ in p] == sorted(g for g, _ in p)
+            for j, (g, x) in enumerate(p):
+                if not g:
+                    seen[x] = (p[j - 1][1] if j else None, p[j + 1][1] if j + 1 < len(p) else None)
+        want = {x: (order[i - 1] if i or wrap else None, order[(i + 1) % n] if i + 1 < n or wrap else None) for i, x in enumerate(order)}
+        assert seen == want
+
+
+def test_limits_hold_at_any_count():
+    for n in (10**3, 10**7, 10**10, 10**13):
+        limit = linear.hash_limit(2000, n)
+        assert limit is None if n <= 2000 else abs((limit + 2**63) / 2**64 * n - 2000) < 1e-3 * 2000
+
+
+def test_samples_are_bounded_and_lose_no_label(spark):
+    ids = spark.range(30_000).selectExpr("id AS doc_id", "if(id % 1000 = 0, 'rare', 'often') AS lang").union(spark.createDataFrame([(5, "often")] * 3000 + [(None, "often"), (1, None)], "doc_id long, lang string"))
+    docs = ids.selectExpr("doc_id", "lang", "concat('text ', doc_id) AS text")
+    got = linear.sample(ids, docs, "lang", 40)
+    assert Counter(y for _, y in got) == {"rare": 30, "often": 40} and len(set(got)) == 70
+    assert got == linear.sample(ids.repartition(9), docs.repartition(3), "lang", 40)
+    # counts as of a hundred billion rows: a limit remains, and what passes it is ranked
+    chosen = linear.bounded_ids(spark.range(3_000_000).selectExpr("id AS doc_id", "'often' AS lang"), "lang", 40, "doc_id", {"often": 10**11 // 2**10})
+    assert chosen.count() <= 40
+    with pytest.raises(ValueError):
+        linear.sample(ids, docs.where("lang <> 'rare'"), "lang", 40)
+    assert [len(t) for t, _ in linear.sample(ids, docs, "lang", 40, most_bytes=1)] and len(linear.sample(ids, docs, "lang", 40, most_bytes=1)) == 2
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Fake:
+        def __init__(self, master):
+            self.sparkContext = type("C", (), {"master": master})
+            self.conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    assert common.shared_dir(Fake("local[4]")).startswith("file:")
+    for master in ("local-cluster[2,1,1024]", "spark://h:7077", "yarn"):
+        with pytest.raises(ValueError):
+            common.shared_dir(Fake(master))
+
+
 # 1 toxicity
 
 
@@ -484,21 +543,81 @@ def test_normaliser_makes_members_and_an_index():
 # 8 fingerprints
 
 
+def _naive_pieces(line, at, text):
+    """Pieces of a line that begins at an offset of the text, by the rolling hash spelled out."""
+    bits = lambda i: 3 if i < 32 else 4 if i < 128 else 5 if i < 1024 else 6 if i < 8192 else 7
+    m = 2**64 - 1
+    out, run = [], ""
+    for i in range(at, at + len(line)):
+        run += text[i]
+        h = 0
+        for c in text[max(0, i - 15) : i + 1]:
+            h = h * 0x9E3779B97F4A7C15 + (ord(c) + 1) * 0xD6E8FEB86659FD93 & m
+        h = (h ^ h >> 29) * 0xD6E8FEB86659FD93 & m
+        start = i + 1 - len(run)
+        if h >> 64 - bits(i) == 0 or len(run) == 4 << bits(start):
+            out.append(run)
+            run = ""
+    return out + [run] * bool(run)
+
+
+def _naive_tree(text):
+    """(root, fingerprint, multiset of pieces)."""
+    digest = lambda level, data: base64.urlsafe_b64encode(hashlib.blake2b(bytes([level]) + data.encode(), digest_size=16).digest()).decode()[:22]
+    sections, blank, at = [], True, 0
+    for line in text.split("\n") if text else []:
+        if blank or re.match(r"#{1,6} |\d+(\.\d+)*\.? +[A-Z]", line):
+            sections.append([])
+        blank = not line.strip()
+        sections[-1].append(_naive_pieces(line, at, text))
+        at += len(line) + 1
+    shown, tops = "", ""
+    for s in sections:
+        tops += digest(2, "".join(digest(1, "".join(digest(0, x) for x in p)) for p in s))
+        shown += "/" + "".join("." + ",".join(f"{digest(0, x)}{len(x):x}" for x in p) for p in s)
+    root = digest(3, tops)
+    return root, root + shown, Counter(x for s in sections for p in s for x in p)
+
+
+def _naive_likeness(a, b):
+    size = lambda n: sum(len(x) * k for x, k in n.items())
+    whole = size(a[2]) + size(b[2])
+    return 1.0 if a[0] == b[0] else 2 * size(a[2] & b[2]) / whole if whole else 0.0
+
+
 def test_merkle_pairs(spark):
-    texts = [t for t in EDGE] + ["A first sentence here. A second one.\nNext line.\n\n# Head\nmore text of it."] * 2
+    r = random.Random(12)
+    prose = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "epsilon", "x", "é😀"]) + r.choice(["", "", ".", ",", "\n", "\n\n"]) for _ in range(n))
+    texts = [*EDGE, *["A first sentence here. A second one.\nNext line.\n\n# Head\nmore text of it."] * 2, "\n", "ab", "abc", "z" * 700, *(prose(n) for n in (5, 40, 40, 300))]
+    texts[4] = "long " * 2000
     ids = [5 * i for i in range(len(texts))]
-    got = {r.doc_id: r for r in merkle.fingerprint_pairs(docs(spark, texts, ids=ids)).collect()}
+    got = {x.doc_id: x for x in merkle.fingerprint_pairs(docs(spark, texts, ids=ids).repartition(5)).collect()}
     order = sorted(zip(ids, texts), reverse=True)
     for k, (i, t) in enumerate(order):
         t, n = t or "", order[(k + 1) % len(order)][1] or ""
         e = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert r.fingerprint == str(merkle.tree(t)) and merkle.parse(r.fingerprint) == merkle.tree(t) and r.edited_fingerprint == str(merkle.tree(e))
-        assert r.near_edited == merkle.likeness(merkle.parse(r.fingerprint), merkle.parse(r.edited_fingerprint)) and r.near_next == merkle.likeness(merkle.tree(t), merkle.tree(n))
+        own, new, following, x = _naive_tree(t), _naive_tree(e), _naive_tree(n), got[i]
+        assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (x.fingerprint, x.edited_fingerprint) == (own[1], new[1])
+        assert x.near_edited == pytest.approx(_naive_likeness(own, new)) and x.near_next == pytest.approx(_naive_likeness(own, following))
+        assert str(merkle.parse(x.fingerprint)) == x.fingerprint
+    with pytest.raises(ValueError):
+        merkle.parse(got[0].fingerprint + "/." + "A" * 22 + "5")
     assert merkle.fingerprint_pairs(docs(spark, [])).count() == 0
     assert merkle.fingerprint_pairs(docs(spark, ["one."])).first().near_next == 1.0
     assert merkle.fingerprint_pairs(docs(spark, ["a", "b", "b"], ids=[None, 1, 1])).count() == 3
+    hot = merkle.fingerprint_pairs(docs(spark, ["a"] * 300 + ["b"], ids=[7] * 300 + [8]).repartition(4)).collect()
+    assert len(hot) == 301 and len({x.fingerprint for x in hot}) == 2
+
+
+def test_the_edit_costs_few_pieces():
+    r = random.Random(2)
+    for n, least in ((60, 0.3), (400, 0.5), (3000, 0.6)):
+        texts = ["".join(r.choices("abcdefghij klmnop", k=n)) for _ in range(40)]
+        near = [merkle.likeness(merkle.tree(t), merkle.tree(merkle.edited(t, u))) for t, u in zip(texts, texts[1:])]
+        assert np.mean(near) > least and max(near) < 0.75
+        assert max(merkle.likeness(merkle.tree(t), merkle.tree(u)) for t, u in zip(texts, texts[1:])) < 0.2
+    assert merkle.likeness(merkle.tree("same " * 900), merkle.tree("same " * 600 + "other " * 250)) > 0.5
 
 
 def test_branches_locate_an_edit():
@@ -603,20 +722,65 @@ def test_main_text(page, text):
     assert html_extract.main_text(lines, [False] * len(lines))[0] == text
 
 
-def test_shared_is_a_longest_common_subsequence():
+@pytest.mark.parametrize("held", [32 << 20, 1])
+def test_shared_is_a_longest_common_subsequence(held, monkeypatch):
+    monkeypatch.setattr(html_extract, "HELD", held)
     r = random.Random(8)
-    for _ in range(300):
-        a, b = ([r.choice("abcdefgh") for _ in range(r.randrange(12))] for _ in range(2))
-        number = lambda s: [(x, s[: i + 1].count(x)) for i, x in enumerate(s)]
-        na, nb = number(a), number(b)
-        best = [[0] * (len(nb) + 1) for _ in range(len(na) + 1)]
-        for i in range(len(na)):
-            for j in range(len(nb)):
-                best[i + 1][j + 1] = best[i][j] + 1 if na[i] == nb[j] else max(best[i][j + 1], best[i + 1][j])
+    for _ in range(1500):
+        letters = "abcdefgh"[: r.randrange(1, 9)]
+        a, b = ([r.choice(letters) for _ in range(r.randrange(14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
         got = html_extract.shared(a, b)
         assert sum(got) == best[-1][-1]
-        rest = iter(nb)
-        assert all(x in rest for x, s in zip(na, got) if s)
+        rest = iter(b)
+        assert all(x in rest for x, s in zip(a, got) if s)
+    assert html_extract.shared(["x", "a"], ["a", "x", "a"]) == [True, True]
+    assert html_extract.shared(["Read more", "Terms"], ["Terms", "Story", "Read more", "Terms"]) == [True, True]
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p>one<select><option>x</article><p>two", "one"), ("<article>x <math>y=2</math> z</article>", "x y=2 z"), ("<article>a <object>b</object> <noscript>c</noscript><select><option>q</select>d</article>", "a b c\nd"),
+        ("<article>a<svg><title>s</title></svg>b<svg>c", "a b c"), ("<article>a<script>b", "a"), ("<article>a</i></b></section><p>b</article>", "a\nb"),
+    ],
+)
+def test_no_text_is_lost(page, text):
+    lines = html_extract.lines_of(page)
+    assert html_extract.main_text(lines, [False] * len(lines))[0] == text
+
+
+def test_long_pages_take_linear_time():
+    began = time.perf_counter()
+    for page in ("<div>" * 40_000 + "</span>" * 40_000 + "x", "<svg>" * 40_000 + "x", "<p>same" * 40_000, "<a \"" * 20_000):
+        html_extract.lines_of(page)
+    lines = [str(i % 7) for i in range(20_000)]
+    html_extract.shared(lines, lines[3:] + ["1"] * 5000)
+    assert time.perf_counter() - began < 20
+
+
+def test_pairs_are_the_nearest_by_path(spark):
+    """Against a pairing by brute force: pages without an article lose the lines that their nearest page has, too."""
+    r = random.Random(3)
+    pages = []
+    for i in range(90):
+        url = f"http://h{r.randrange(3)}/" + "/".join(r.choice(["a", "b", "news"]) for _ in range(r.randrange(4))) + (f"/{i}" if i % 9 else "")
+        pages.append((i, url, "".join(f"<p>{r.choice('abcdefghij')}" for _ in range(r.randrange(9)))))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {x.page_id: x for x in html_extract.extract(df.repartition(6)).collect()}
+    split = lambda u: (u.split("/")[2], u[len("http://h0") :])
+    order = sorted(pages, key=lambda p: (*split(p[1]), p[0]))
+    for k, (i, u, h) in enumerate(order):
+        host, path = split(u)
+        near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order) and split(order[j][1])[0] == host]
+        alike = lambda p: len(os.path.commonprefix([split(p[1])[1], path]))
+        best = next((p for p in near if alike(p) == max(map(alike, near))), None)
+        lines, other = ([x for x in p.split("<p>") if x] for p in (h, best[2] if best else ""))
+        assert got[i].n_shared == sum(html_extract.shared(lines, other)) and got[i].n_elements == got[i].n_kept == 0
+        assert got[i].text == "\n".join(x for x, s in zip(lines, html_extract.shared(lines, other)) if not s)
 
 
 def test_extraction(spark):
