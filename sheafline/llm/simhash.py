@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafline.llm.common import ASCII_LOWER, WORD_RE, map_rows, prepare, written
+from sheafline.llm.common import ASCII_LOWER, WORD_RE, discard, map_rows, prepare, written
 from sheafline.llm.graph import connected_components
 
 SEED = 42
@@ -148,8 +148,8 @@ def simhash_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 #: 1 - (1 - 0.8**5)**20 = 0.9996 do, wherever the edits are.
 COPY_WIDTH, NEAR_SHARE = 5, (4, 5)
 BANDS, ROWS = 20, 5
-#: Seeds of single-word fingerprints, by which the tests tell how far texts are apart.
-COPY_SEEDS = (42, 43, 44)
+#: Members of a group that are compared with the others in the first round after the least one, and how that number grows.
+FIRST, MORE = 8, 8
 _FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
 
@@ -167,21 +167,53 @@ def bands(members: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
 
 
-def near_copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of all candidates among nodes (id, bands) that are near copies by their whole texts in docs (doc_id, __text).
+def _near_copies(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (id, members) share at least NEAR_SHARE."""
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    both = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("total"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+    return both.where(F.col("common") * NEAR_SHARE[1] >= (F.col("total") - F.col("common")) * NEAR_SHARE[0]).select("a", "b")
+
+
+def near_copy_components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of nodes (id, bands) that have a near copy, by their whole texts in docs (doc_id, __text).
 
-    Every pair that meets in a band is a candidate, however many meet there.
+    The components are those of all pairs that meet in a band and are near copies, but not all pairs are made.  First each
+    node is compared with one other, the least id that it meets.  Then only groups, the nodes that meet in one band, are
+    looked at in which components are still apart.  In each round some members of such a group, FIRST and then MORE times as
+    many as in the round before, are compared with its members in other components; groups end when they are one component
+    or when every member has been compared with all.  So a large group of copies costs a row a member, and only texts that
+    meet without being copies are compared one by one.
     """
     keys = nodes.select("id", F.explode("bands").alias("key"))
-    met = keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")), "key").where("a < b")
-    pairs = written(met.select("a", "b").distinct(), "copy-pairs")
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(named, docs.doc_id == named.id, "left_semi")
+    groups = written(keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "copy-groups")
+    met = written(keys.join(groups, "key"), "copy-met")
+    named = met.select("id").distinct()
     members = T.StructField("members", T.ArrayType(T.LongType(), False), False)
+    texts = docs.join(named, docs.doc_id == named.id, "left_semi")
     sets = written(map_rows(texts, lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], ["__text"], [members], keep=["doc_id"]), "copy-sets")
-    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
-    both = both.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("total"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
-    return both.where(F.col("common") * NEAR_SHARE[1] >= (F.col("total") - F.col("common")) * NEAR_SHARE[0]).select("a", "b")
+    links = written(_near_copies(met.groupBy("id").agg(F.min("least").alias("a")).where("a <> id").select("a", F.col("id").alias("b")), sets), "copy-links")
+    chosen = FIRST
+    while True:
+        comp = written(connected_components(links), "copy-components")
+        at = comp.select(F.col("node").alias("id"), "component")
+        placed = met.join(at, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+        apart = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "copy-apart")
+        live = written(placed.join(apart, "key"), "copy-live")
+        most = live.agg(F.max("n")).first()[0]
+        if most is None:
+            return comp
+        of = F.when(F.col("n") <= chosen, F.lit(True)).otherwise(F.pmod(F.xxhash64("id", "key", F.lit(chosen)), F.col("n")) < chosen)
+        marked = live.withColumn("first", of)
+        a, b = (marked.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "first"))) for x in "ab")
+        pairs = a.where("first_a").join(b, "key").where("component_a <> component_b and (not first_b or id_a < id_b)")
+        pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+        # what is linked so far stands as the link of each node to its component
+        links = written(_near_copies(pairs, sets).union(comp.where("node <> component").select("component", "node")), "copy-links")
+        for t in (comp, apart, live):
+            discard(t)
+        if most <= chosen:
+            return connected_components(links)
+        chosen *= MORE
 
 
 def near_copy_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -200,7 +232,7 @@ def near_copy_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     seen = written(map_rows(docs, run, ["__text"], fields, keep=["doc_id"]), "copy-bands")
     nodes = written(seen.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "copy-nodes")
-    comp = connected_components(near_copy_links(nodes, docs))
+    comp = near_copy_components(nodes, docs)
     of_node = nodes.join(comp, nodes.id == comp.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return seen.select("doc_id", "digest").join(of_node, "digest").select("doc_id", "component_id")
 
@@ -208,7 +240,8 @@ def near_copy_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """df without the documents that have a near copy of a smaller id in their class: one document of each class stays.
 
-    Rows that repeat the id that stays all stay, and so do rows without an id.
+    Rows that repeat the id that stays all stay, and so do rows without an id.  Null and empty texts, and others without a
+    word, are copies of each other.  All columns pass through, whatever their names.
     """
-    gone = near_copy_classes(df, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    gone = near_copy_classes(df, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    return df.join(written(gone, "copies"), doc_id, "left_anti").select(*(f"`{c}`" for c in df.columns))
