@@ -252,20 +252,63 @@ def test_links_connect_what_brute_force_connects(spark, seed):
     assert mine == {i: find(i) for i in range(len(fps)) if any(find(i) == find(j) for j in range(len(fps)) if j != i)}
 
 
+def _near_classes(texts, ids):
+    """Least id of each text's class, by comparing all pairs."""
+    sets = [set(zip(*(words(t.translate(common.ASCII_LOWER) if t else t)[i:] for i in range(5)))) or tuple(words(t)) for t in texts]
+    best, again = list(ids), True
+    while again:
+        again = False
+        for i in range(len(texts)):
+            for j in range(i):
+                a, b = sets[i], sets[j]
+                near = len(a & b) >= 0.8 * len(a | b) if isinstance(a, set) and isinstance(b, set) else a == b
+                if near and best[i] != best[j]:
+                    best[i] = best[j] = min(best[i], best[j])
+                    again = True
+    return dict(zip(ids, best))
+
+
 def test_one_of_each(spark):
     texts = _near_texts()
-    kept = simhash.one_of_each(docs(spark, texts))
+    ids = [7 * i % 1009 for i in range(len(texts))]
+    kept = simhash.one_of_each(docs(spark, texts, ids=ids))
     assert kept.columns == docs(spark, []).columns
-    left = {r.doc_id for r in kept.collect()}
-    shingles = [set(zip(*(words(t)[i:] for i in range(5)))) for t in texts]
-    for i in range(len(EDGE), len(texts)):
-        first = next(j for j in range(len(EDGE), i + 1) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]))
-        assert (i in left) == (first == i) or i in left and first != i and _distance(texts[i], texts[first]) > 3
-    assert {3, 4, 5, 7, 8} <= left and 6 not in left
+    want = _near_classes(texts, ids)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert {r.doc_id: r.component_id for r in simhash.near_copy_classes(docs(spark, texts, ids=ids)).collect()} == want
     assert simhash.one_of_each(docs(spark, [])).count() == 0
     assert simhash.one_of_each(docs(spark, ["a", "b"], ids=[None, 1])).count() == 2
 
 
+def test_large_groups_are_met_without_all_pairs(spark, monkeypatch):
+    """A star of near copies, a chain whose ends share little, and texts that meet the others without being copies."""
+    r = random.Random(17)
+    base = [f"w{r.randrange(4000)}" for _ in range(150)]
+    texts = []
+    for _ in range(160):
+        w = list(base)
+        w[r.randrange(150)] = f"x{r.randrange(9999)}"
+        texts.append(" ".join(w))
+    chain = list(base)
+    for i in range(40):  # each step changes three words
+        for k in range(3):
+            chain[(3 * i + k) % 150] = f"y{i}-{k}"
+        texts.append(" ".join(chain))
+    for _ in range(20):  # a fourth of the words new: below the bound
+        w = list(base)
+        at = r.randrange(110)
+        w[at : at + 38] = [f"z{r.randrange(9999)}" for _ in range(38)]
+        texts.append(" ".join(w))
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    texts = [texts[i] for i in order]
+    made = []
+    monkeypatch.setattr(simhash, "_near_copies", lambda pairs, sets, f=simhash._near_copies: (made.append(pairs.count()), f(pairs, sets))[1])
+    got = {x.doc_id: x.component_id for x in simhash.near_copy_classes(docs(spark, texts)).collect()}
+    assert got == _near_classes(texts, list(range(len(texts))))
+    assert made[0] < len(texts) and sum(made) < 0.4 * len(texts) ** 2 / 2
+
+
 def _share(a, b):
     a, b = (set(zip(*(words(t)[i:] for i in range(5)))) for t in (a, b))
     return len(a & b) / len(a | b)
@@ -288,10 +331,6 @@ def test_block_edited_copies_go_and_lesser_ones_stay(spark):
     assert left == {2 * i for i in range(len(pairs))} | {2 * i + 1 for i, n in enumerate(near) if not n}
 
 
-def _distance(a, b):
-    return min((simhash.fingerprint(a, 1, s) ^ simhash.fingerprint(b, 1, s)).bit_count() for s in simhash.COPY_SEEDS)
-
-
 # 3 SentencePiece
 
 
