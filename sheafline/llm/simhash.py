@@ -148,8 +148,8 @@ def simhash_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 #: 1 - (1 - 0.8**5)**20 = 0.9996 do, wherever the edits are.
 COPY_WIDTH, NEAR_SHARE = 5, (4, 5)
 BANDS, ROWS = 20, 5
-#: Members of a group that are compared with the others in the first round after the least one, and how that number grows.
-FIRST, MORE = 8, 8
+#: Hashes of the sets of a group that one task holds; of larger groups each pair of blocks goes to a task.
+BLOCK = 4_000_000
 _FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
 
@@ -174,46 +174,96 @@ def _near_copies(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("common") * NEAR_SHARE[1] >= (F.col("total") - F.col("common")) * NEAR_SHARE[0]).select("a", "b")
 
 
+def _forest_across(ids: np.ndarray, parts: np.ndarray, values: np.ndarray, size: np.ndarray) -> tuple[list, list]:
+    """Links between near copies in different parts, one fewer than the parts that they join; sets lie in `values`, one after
+    the other.  Pairs with one end outside the largest part are all compared, by their exact shares."""
+    some = size > 0
+    ids, parts, size = ids[some], parts[some], size[some]
+    names, root, count = np.unique(parts, return_inverse=True, return_counts=True)
+    a, b = [], []
+    if len(names) < 2:
+        return a, b
+    known, at = np.unique(values, return_inverse=True)
+    start = np.cumsum(size) - size
+    mark = np.zeros(len(known), dtype=np.int8)
+    for x in np.flatnonzero(root != count.argmax()):
+        own = at[start[x] : start[x] + size[x]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[at], start, dtype=np.int64)
+        mark[own] = 0
+        near = (common * NEAR_SHARE[1] >= (size + size[x] - common) * NEAR_SHARE[0]) & (root != root[x])
+        for y in np.flatnonzero(near):
+            if root[y] != root[x]:
+                a.append(int(ids[x]))
+                b.append(int(ids[y]))
+                root[root == root[y]] = root[x]
+    return a, b
+
+
+def _links_across(rows: DataFrame) -> DataFrame:
+    """(a, b) of near copies of different components that meet in a group; rows: key (any columns), id, component, members."""
+    prepare(rows.sparkSession)
+    keys = [c for c in rows.columns if c not in ("id", "component", "members")]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+
+    def links(pieces: list) -> pa.RecordBatch:
+        a, b = _forest_across(*(np.concatenate(x) for x in zip(*pieces)))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pieces = None, []  # the group that is being read, and its rows so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda n: batch.column(batch.schema.get_field_index(n))
+            key = np.stack([column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys], axis=1)
+            ids, parts = (column(n).to_numpy(zero_copy_only=False) for n in ("id", "component"))
+            lists = column("members")
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+            for s, e in zip(cuts, cuts[1:]):
+                this = tuple(key[s])
+                if now is not None and this != now:
+                    yield links(pieces)
+                    pieces = []
+                now = this
+                pieces.append((ids[s:e].copy(), parts[s:e].copy(), values[ends[s] : ends[e]].copy(), np.diff(ends[s : e + 1])))
+        if pieces:
+            yield links(pieces)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_copy_components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of nodes (id, bands) that have a near copy, by their whole texts in docs (doc_id, __text).
 
-    The components are those of all pairs that meet in a band and are near copies, but not all pairs are made.  First each
-    node is compared with one other, the least id that it meets.  Then only groups, the nodes that meet in one band, are
-    looked at in which components are still apart.  In each round some members of such a group, FIRST and then MORE times as
-    many as in the round before, are compared with its members in other components; groups end when they are one component
-    or when every member has been compared with all.  So a large group of copies costs a row a member, and only texts that
-    meet without being copies are compared one by one.
+    The components are those of all pairs that meet in a band and are near copies, but pairs are not made rows of.  First
+    each node is compared with one other, the least id that it meets.  Of a group, the nodes that meet in one band, in which
+    components are then still apart, the sets come to one task, or to one for each pair of blocks where they are more than
+    BLOCK hashes; there every pair across components is compared, and links that join components are all that leaves.
     """
     keys = nodes.select("id", F.explode("bands").alias("key"))
-    groups = written(keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "copy-groups")
+    groups = written(keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "copy-groups")
     met = written(keys.join(groups, "key"), "copy-met")
     named = met.select("id").distinct()
     members = T.StructField("members", T.ArrayType(T.LongType(), False), False)
     texts = docs.join(named, docs.doc_id == named.id, "left_semi")
-    sets = written(map_rows(texts, lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], ["__text"], [members], keep=["doc_id"]), "copy-sets")
-    links = written(_near_copies(met.groupBy("id").agg(F.min("least").alias("a")).where("a <> id").select("a", F.col("id").alias("b")), sets), "copy-links")
-    chosen = FIRST
-    while True:
-        comp = written(connected_components(links), "copy-components")
-        at = comp.select(F.col("node").alias("id"), "component")
-        placed = met.join(at, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        apart = written(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "copy-apart")
-        live = written(placed.join(apart, "key"), "copy-live")
-        most = live.agg(F.max("n")).first()[0]
-        if most is None:
-            return comp
-        of = F.when(F.col("n") <= chosen, F.lit(True)).otherwise(F.pmod(F.xxhash64("id", "key", F.lit(chosen)), F.col("n")) < chosen)
-        marked = live.withColumn("first", of)
-        a, b = (marked.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "first"))) for x in "ab")
-        pairs = a.where("first_a").join(b, "key").where("component_a <> component_b and (not first_b or id_a < id_b)")
-        pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-        # what is linked so far stands as the link of each node to its component
-        links = written(_near_copies(pairs, sets).union(comp.where("node <> component").select("component", "node")), "copy-links")
-        for t in (comp, apart, live):
-            discard(t)
-        if most <= chosen:
-            return connected_components(links)
-        chosen *= MORE
+    sets = written(map_rows(texts, lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], ["__text"], [members], keep=["doc_id"]).toDF("id", "members"), "copy-sets")
+    first = met.groupBy("id").agg(F.min("least").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
+    links = written(_near_copies(first, sets), "copy-links")
+    at = written(connected_components(links), "copy-components")
+    placed = met.drop("least").join(at.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    live = written(placed.join(written(apart, "copy-apart"), "key").join(sets.select("id", F.size("members").alias("n")), "id"), "copy-live")
+    blocks = written(live.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "copy-blocks")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    rows = live.join(blocks, "key").select("key", "id", "component", F.explode(pairs).alias("pair")).select("key", "pair.i", "pair.j", "id", "component")
+    more = written(_links_across(rows.join(sets, "id").select("key", "i", "j", "id", "component", "members")).distinct(), "copy-links")
+    got = connected_components(more.union(at.select("component", "node")))
+    for t in (groups, met, sets, live):
+        discard(t)
+    return got
 
 
 def near_copy_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
