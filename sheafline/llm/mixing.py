@@ -1,10 +1,11 @@
 """Mixing sources to target weights (operator 6).
 
 Each document gets a hash-random key.  Within its source, documents stand in the order of their keys; prefix sums of their
-sizes say where the source's budget ends.  The sums are made in two levels: the keys' range is cut into `RANGES` equal
-parts, which a hash fills evenly whatever the source's size; sizes are summed for each part, part totals are summed up in
-order, and documents are summed one by one only in the part in which the budget ends.  No source is ever gathered in one
-task, and what every document takes then follows from its own key and its source's cut alone.
+sizes say where the source's budget ends.  The sums are made level by level: the keys' range is cut into 16**DIGITS equal
+parts, which a hash fills evenly whatever the source's size; sizes are summed for each part and part totals are summed up in
+order; the part in which the budget ends is cut into as many parts again, until it holds no more than FEW documents, which
+are summed one by one.  No source is ever gathered in one task, and what every document takes then follows from its own key
+and its source's cut alone.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ WEIGHTS = (5, 2, 1)
 #: The mix holds this share of all sizes; no source more than MOST times its own size.
 SHARE = 1.5
 MOST = 2
-#: Parts of the key range; two hex digits of the key name a part.
-RANGES = 256
+#: Hex digits of the key that name a part of a level, and documents of a source that one task sums one by one.
+DIGITS, FEW = 2, 50_000
 
 
 def mix_key(doc_id: Column) -> Column:
@@ -61,31 +62,40 @@ def cuts(docs: DataFrame, **params) -> DataFrame:
     docs: source, key, size.  Documents before cut_key are taken epochs + 1 times, those after it epochs times; those at
     it share cut_rest words, in proportion to their sizes, whose sum is cut_size.
     """
-    parts = docs.groupBy("source", F.substring("key", 1, 2).alias("part")).agg(F.sum("size").alias("part_size"))
-    parts = written(parts, "mix-parts")
-    goal = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), **params)
+    named = docs.withColumn("source_key", _name(F.col("source")))
+
+    def totals(rows: DataFrame, digits: int, *also: str) -> DataFrame:
+        return rows.groupBy("source_key", *also, F.substring("key", 1, digits).alias("part")).agg(F.sum("size").alias("part_size"), F.count("*").alias("n"))
+
+    first = written(totals(named, DIGITS, "source"), "mix-parts")
+    goal = targets(first.groupBy("source").agg(F.sum("part_size").alias("source_size")), **params)
     budget = F.floor(F.col("target")).cast("long")
-    goal = goal.withColumns(
-        {
-            "epochs": F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"),
-        }
-    ).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    goal = goal.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     goal = written(goal.withColumn("source_key", _name(F.col("source"))).drop("source"), "mix-goals")
-    ahead = F.sum("part_size").over(W.partitionBy("source").orderBy("part")) - F.col("part_size")
-    ends = (
-        parts.withColumn("ahead", ahead).withColumn("source_key", _name(F.col("source"))).join(goal, "source_key")
-        .where("ahead <= rest and rest < ahead + part_size")
-        .select("source_key", "part", "ahead", "rest")
-    )
-    # the documents of those parts alone, one part a source
-    near = docs.withColumns({"source_key": _name(F.col("source")), "part": F.substring("key", 1, 2)}).join(ends, ["source_key", "part"])
-    near = near.groupBy("source_key", "key", "ahead", "rest").agg(F.sum("size").alias("cut_size"))
+    # the part of each source in which what is left of its budget ends, narrowed down until it is small
+    parts, digits = first.join(goal, "source_key").select("source_key", "part", "part_size", "n", F.lit(0).cast("long").alias("ahead"), "rest"), DIGITS
+    while True:
+        before = F.col("ahead") + F.sum("part_size").over(W.partitionBy("source_key").orderBy("part")) - F.col("part_size")
+        found = parts.withColumn("before", before).where("before <= rest and rest < before + part_size")
+        ends = written(found.select("source_key", F.col("part").alias("prefix"), F.col("before").alias("ahead"), "rest", "n"), "mix-ends")
+        most = ends.agg(F.max("n")).first()[0]
+        ends = ends.drop("n")
+        if most is None or most <= FEW or digits >= 32:
+            break
+        parts, digits = totals(in_part_of(named, ends, digits), digits + DIGITS, "ahead", "rest"), digits + DIGITS
+    near = in_part_of(named, ends, digits).groupBy("source_key", "key", "ahead", "rest").agg(F.sum("size").alias("cut_size"))
     before = F.col("ahead") + F.sum("cut_size").over(W.partitionBy("source_key").orderBy("key")) - F.col("cut_size")
     last = near.withColumn("before", before).where("before <= rest and rest < before + cut_size")
     last = last.select("source_key", F.col("key").alias("cut_key"), (F.col("rest") - F.col("before")).alias("cut_rest"), "cut_size")
     return goal.join(last, "source_key", "left").select("source_key", "source_size", "target", "epochs", "cut_key", "cut_rest", "cut_size")
 
 
+def in_part_of(docs: DataFrame, ends: DataFrame, digits: int) -> DataFrame:
+    """The documents (source_key, key) of one part of each source; ends: source_key, prefix of so many digits."""
+    return docs.withColumn("prefix", F.substring("key", 1, digits)).join(ends, ["source_key", "prefix"])
+
+
 def _name(source: Column) -> Column:
     """A join key in which null has a place of its own."""
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
@@ -115,16 +125,18 @@ def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", d
     """The mix itself: df's rows, each as often as it is taken.
 
     A row stands once for each whole round and once more if at least half of its words are taken in the last one; texts
-    are never cut.  Rows without words, which cost nothing, stay once.
+    are never cut.  Rows without words (null and empty texts), which cost nothing, stay once; rows of one id are taken alike
+    but at the cut.  All columns pass through, whatever their names.  An empty table gives an empty one.
     """
-    kept = df.columns
-    docs = df.withColumns({"__size": n_words(F.col(text)), "__key": mix_key(F.col(doc_id)), "__source": F.col(source)})
-    slim = written(docs.select(F.col("__source").alias("source"), F.col("__key").alias("key"), F.col("__size").alias("size")), "mix-sizes")
+    # the row goes as one value, so that no name of its columns meets one of ours
+    row = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("row")
+    docs = df.select(row, n_words(F.col(text)).alias("size"), mix_key(F.col(doc_id)).alias("key"), F.col(source).alias("source"))
+    slim = written(docs.select("source", "key", "size"), "mix-sizes")
     # written first: a row a source, whose size Spark then knows, so that where it is small documents stay where they are
-    cut = written(cuts(slim, weights=weights, share=share, most=most), "mix-cuts").withColumnRenamed("source_key", "__source_key")
-    got = docs.withColumn("__source_key", _name(F.col("__source"))).join(cut, "__source_key")
-    times = F.when(F.col("__size") == 0, 1).otherwise(F.floor(taken(F.col("__size"), F.col("__key")) / F.col("__size") + 0.5)).cast("int")
-    return got.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(f"`{c}`" for c in kept))
+    cut = written(cuts(slim, weights=weights, share=share, most=most), "mix-cuts")
+    got = docs.select("row", "size", "key", _name(F.col("source")).alias("source_key")).join(cut, "source_key")
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(taken(F.col("size"), F.col("key")) / F.col("size") + 0.5)).cast("int")
+    return got.select("row", times.alias("times")).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 #: DuckDB SQL for mix() over documents.
