@@ -140,7 +140,8 @@ def page_of(record: Record) -> tuple:
 
 
 def _open(uri: str):
-    """File system and path of a URI; local paths without a scheme too."""
+    """File system and path of a URI, by the schemes that Spark uses; local paths without a scheme too."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
@@ -250,14 +251,18 @@ def with_revisits(df: DataFrame, html: str = "html", url: str = "url", page_id:
     """page_id, url, payload, refers_to: the page of the largest id among those with the same payload of `least` bytes or more.
 
     refers_to is null for that page itself, for smaller payloads and for payloads without a copy.  Rows that share the
-    largest id are all responses.  A null html is an empty payload.  Copies are counted by digest before any payload moves;
-    only digests that occur more than once are joined.
+    largest id are all responses.  A null html is an empty payload.  Copies are counted and revisits listed by ids and
+    digests alone; payloads move only if the list of revisits is too long for Spark to send it to all tasks, and then by
+    page, so a payload that stands often is in many tasks.  Smaller payloads are in no join.
     """
     pages = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    digest = F.when(F.octet_length("payload") >= least, F.sha1("payload"))
-    copies = pages.select("page_id", digest.alias("digest")).where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    got = pages.withColumn("digest", digest).join(copies, "digest", "left")
-    return got.select("page_id", "url", "payload", F.when(~F.col("largest").eqNullSafe(F.col("page_id")), F.col("largest")).alias("refers_to"))
+    large = pages.where(F.octet_length("payload") >= least).withColumn("digest", F.sha1("payload"))
+    slim = written(large.select("page_id", "digest"), "warc-digests")
+    copies = written(slim.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-copies")
+    revisits = written(slim.join(copies, "digest").where("not (largest <=> page_id)").select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "largest").distinct(), "warc-revisits")
+    met = large.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
+    out = met.select("page_id", "url", "payload", F.col("largest").alias("refers_to"))
+    return out.union(pages.where(F.octet_length("payload") < least).withColumn("refers_to", F.lit(None).cast(df.schema[page_id].dataType)))
 
 
 def round_trip(df: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
