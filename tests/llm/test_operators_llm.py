@@ -490,8 +490,9 @@ def test_language(spark):
 # 6 mixing
 
 
-@pytest.mark.parametrize("n", [0, 1, 3, 400])
-def test_mix(spark, duck, same, n):
+@pytest.mark.parametrize("n,few", [(0, 50_000), (1, 50_000), (3, 50_000), (400, 50_000), (399, 1)])
+def test_mix(spark, duck, same, n, few, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", few)  # 1: parts are cut until a document is alone
     r = random.Random(n)
     texts = [None if i % 50 == 3 else "w " * r.randrange(40) for i in range(n)]
     sources = [r.choice(["a", "a", "a", "b", "c", "Z", None]) for _ in range(n)]
@@ -853,6 +854,23 @@ def test_queries_return_every_row(name, spark, sf):
     assert sorted(r[0] for r in queries.QUERIES[name](spark, sf).select(key).collect()) == want
 
 
+CLASHES = "target epochs source_size cut_key cut_rest cut_size size key row times taken source_key part digest id component lang_pred ambiguous score base_spans spans found held_out __text a.b".split()
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_pass_any_column_through(spark, sf, stage):
+    import corpus_pipeline
+
+    made = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(["one text of words", "one text of words", None, "", "another text here"])] + [(4, "another text here", "en", None, 17)], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = made.select("*", *(F.lit(f"mine {c}").alias(c) for c in CLASHES))
+    got = corpus_pipeline.STAGES[stage][1](spark, wide, sf)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert rows and all(r[c] == f"mine {c}" for r in rows for c in CLASHES)
+    plain = corpus_pipeline.STAGES[stage][1](spark, made, sf)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, got.select(*made.columns).collect()))
+
+
 def test_clashing_columns_are_replaced(spark):
     got = common.map_rows(docs(spark, ["x"]), lambda t: [[1.5]], ["text"], [T.StructField("score", T.DoubleType())])
     assert got.columns.count("score") == 1 and got.first().score == 1.5
