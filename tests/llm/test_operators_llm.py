@@ -181,6 +181,42 @@ def test_toxicity_query_never_learns_from_held_out_rows(spark, sf):
     assert np.mean([s for s, y in seen if y]) > np.mean([s for s, y in seen if not y])
 
 
+def test_toxicity_scores_by_brute_force(spark, sf):
+    """Every score of the query from term counts and sums spelled out, given the trained weights."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(frame, spark.read.parquet(f"{sf}/labels.parquet"), where=~common.held_out())
+    place = {int(h): i for i, h in enumerate(model.known)}
+    got = {r.doc_id: (r.score, r.predicted) for r in queries.op1_toxicity(spark, sf).collect()}
+    for r in frame.collect():
+        found, n = Counter(), 0
+        for w in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (r.text or "").lower())):
+            n += 1
+            found[place.get(toxicity.term_hash(w, False))] += 1
+            for k in range(3, min(8, len(w)) + 1):
+                found[place.get(toxicity.term_hash(w[:k], True))] += 1
+        del found[None]
+        z = model.bias + sum(model.weights[i] * math.log(1 + k) for i, k in found.items()) + model.weights[-1] * math.log(1 + 100 * sum(found.values()) / max(n, 1))
+        score = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert got[r.doc_id][0] == pytest.approx(score, rel=1e-5, abs=1e-9) and got[r.doc_id][1] == int(got[r.doc_id][0] >= 0.5)
+
+
+def test_posteriors_by_brute_force():
+    r = np.random.default_rng(5)
+    y = r.random(300) < 0.4
+    ballot = np.stack([np.where(r.random(300) < 0.2, -1, np.where(r.random(300) < right, y, ~y)) for right in (0.9, 0.8, 0.7)], axis=1)
+    model = toxicity.label_model(ballot, 0.25 + 0.5 * (ballot[:, 0] == 1))
+    for row, got in zip(ballot[:60], model.posterior(ballot)):
+        chance = [1 - model.prior, model.prior]
+        for k in (0, 1):
+            for v, said in enumerate(row):
+                chance[k] *= model.accuracy[k, v, 2 if said < 0 else said] ** model.weight[v]
+        assert got == pytest.approx(chance[1] / sum(chance))
+    # a round of expectation and maximisation leaves the estimates where they are
+    q = model.posterior(ballot)
+    again = [(q @ (ballot[:, v] == s) + 0.5) / (q.sum() + 1.5) for v in range(3) for s in (0, 1)]
+    assert again == pytest.approx([model.accuracy[1, v, s] for v in range(3) for s in (0, 1)], abs=0.01)
+
+
 # 2 SimHash
 
 
@@ -487,6 +523,44 @@ def test_language(spark):
     assert langid.identify(docs(spark, []), model).count() == 0
 
 
+def _naive_ngrams(text):
+    """Counts by slot of the n-grams of one to three characters, one after the other."""
+    m, chars = 2**64 - 1, [0]
+    for c in text.lower():
+        if c.isalpha() or chars[-1]:
+            chars.append(ord(c) if c.isalpha() else 0)
+    if chars[-1]:
+        chars.append(0)
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(chars) - n + 1):
+            if chars[i] or chars[i + n - 1]:
+                h = 0
+                for c in chars[i : i + n]:
+                    h = h * 0x9E3779B97F4A7C15 + c + 1 & m
+                out[(h * 0xD6E8FEB86659FD93 & m) >> 51] += 1
+    return out
+
+
+def test_language_by_brute_force(spark, sf):
+    """Every answer of the query from n-gram counts and decoding spelled out, given the trained weights."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(frame, where=~common.held_out())
+    got = {r.doc_id: r for r in queries.op5_language(spark, sf).collect()}
+    for r in frame.collect():
+        x = got[r.doc_id]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (x.lang_pred, x.score, x.ambiguous) == ("und", 0, True)
+            continue
+        n = _naive_ngrams(r.text)
+        margin = [sum(k / n.total() * float(model.weights[i, b]) for i, k in n.items()) + float(model.bias[b]) for b in range(model.code.shape[1])]
+        loss = [sum(math.log(1 + math.exp(-g * c)) for g, c in zip(margin, word)) for word in model.code.tolist()]
+        low = sorted(loss)
+        assert x.lang_pred == model.langs[loss.index(low[0])] or low[1] - low[0] < 1e-3
+        assert x.score == pytest.approx(1 / sum(math.exp(low[0] - v) for v in loss), abs=1e-3)
+        assert x.ambiguous == (low[1] - low[0] < langid.MARGIN) or abs(low[1] - low[0] - langid.MARGIN) < 1e-3
+
+
 # 6 mixing
 
 
@@ -672,6 +746,7 @@ def test_branches_locate_an_edit():
 
 # 9 secrets
 
+SUM_OF_RATIOS = 8737020
 KEY = "ghp_16C7e42F292c6912E7710c838347Ae178B4a"
 SECRET = [
     None, "", LONG, 'token="abcdef1" password: x', "PASSWD = 'a/b+c=.-_' AKIA" + "Q" * 16 + " AKIAQ" , "é😀 " + "0a" * 12 + "f" * 5 + " and " + KEY, "api_key=api-key=secret:zzzzzzz", "token=token:abcdefgh",
@@ -733,8 +808,9 @@ def test_secrets_joined_to_other_text(spark):
 def test_secret_models_tell_samples_apart():
     secrets, ordinary = secret_scan.labelled_samples(1500, 99)
     model = secret_scan.default_model()
-    assert np.mean([model.is_secret(s) for s in secrets]) > 0.95
-    assert np.mean([model.is_secret(s) for s in ordinary if len(s) >= secret_scan.LEAST]) < 0.01
+    assert np.mean([model.is_secret(s) for s in secrets]) > 0.99
+    assert not any(model.is_secret(s) for s in ordinary if len(s) >= secret_scan.LEAST)
+    assert secret_scan.labelled_samples(1500, 99) == (secrets, ordinary) and sum(model.ratio) == SUM_OF_RATIOS  # the same anywhere
 
 
 def test_redaction(spark):
