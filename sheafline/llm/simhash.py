@@ -27,6 +27,8 @@ from sheafline.llm.graph import connected_components
 
 SEED = 42
 BITS = 3
+#: Words of more fingerprints than HOT are split; they are counted on one fingerprint in HOT_SAMPLE.
+HOT, HOT_SAMPLE = 4096, 16
 
 
 def shingles(text: str | None, width: int) -> list[str]:
@@ -59,50 +61,70 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 3, seed: int =
     return map_rows(df, run, [text], [T.StructField(name, T.LongType(), False)])
 
 
-def _forest(ids: np.ndarray, fps: np.ndarray, checks: np.ndarray, bits: int, check_bits: int) -> tuple[list, list]:
-    """Links that connect what pairs within the distances connect, one fewer than members for each class."""
+def _forest(ids: np.ndarray, fps: np.ndarray, bits: int) -> tuple[list, list]:
+    """Links that connect what pairs within the distance connect, one fewer than members for each class."""
     a, b = [], []
     while len(ids) > 1:
-        queue = [(ids[0], fps[0], checks[0])]
-        ids, fps, checks = ids[1:], fps[1:], checks[1:]
+        queue = [(ids[0], fps[0])]
+        ids, fps = ids[1:], fps[1:]
         while queue and len(ids):
-            i, f, c = queue.pop()
-            near = (np.bitwise_count(fps ^ f) <= bits) & (np.bitwise_count(checks ^ c) <= check_bits)
+            i, f = queue.pop()
+            near = np.bitwise_count(fps ^ f) <= bits
             if near.any():
                 found, far = np.flatnonzero(near), ~near
                 a += [int(i)] * len(found)
                 b += ids[found].tolist()
-                queue.extend(zip(ids[found], fps[found], checks[found]))
-                ids, fps, checks = ids[far], fps[far], checks[far]
+                queue.extend(zip(ids[found], fps[found]))
+                ids, fps = ids[far], fps[far]
     return a, b
 
 
-def fingerprint_links(nodes: DataFrame, fp: str = "fp", node: str = "id", bits: int = BITS, check: str | None = None, check_bits: int = 64) -> DataFrame:
+def _ball(word: str, bits: int) -> str:
+    """SQL: a word of so many bits, and the word with each of its zero bits raised."""
+    return f"array_insert(filter(transform(sequence(0, {bits - 1}), i -> if(({word} & shiftleft(1L, i)) = 0, {word} | shiftleft(1L, i), -1L)), k -> k >= 0), 1, {word})"
+
+
+def _hot_words(named: DataFrame, words: list[str]) -> DataFrame:
+    """key of the words that more than about HOT of the fingerprints have, counted on one in HOT_SAMPLE of these."""
+    own = F.array(*(F.expr(f"{w} + {seg << 33}L") for seg, w in enumerate(words)))
+    some = named.where(F.pmod(F.xxhash64("fp"), F.lit(HOT_SAMPLE)) == 0).select(F.explode(own).alias("key"))
+    return some.groupBy("key").count().where(F.col("count") > HOT // HOT_SAMPLE).select("key")
+
+
+def fingerprint_links(nodes: DataFrame, fp: str = "fp", node: str = "id", bits: int = BITS) -> DataFrame:
     """(a, b) of nodes: a forest with the same connected components as all pairs within `bits` <= 3 bits.
 
-    nodes: a row for each node (long) with its fingerprint (signed long); nulls are ignored.  With `check`, a second
-    fingerprint, pairs must also be within `check_bits` of each other there.
+    nodes: a row for each node (long) with its fingerprint (signed long); nulls are ignored.
+
+    A word that very many fingerprints have is split by multi-index hashing once more: what meets under it differs in three
+    bits of the other segment at most, so in one bit of one of that segment's halves, and the balls around these are the
+    tables.  Which words are split follows from a sample, and changes the work but not the links' components.
     """
     if not 0 <= bits <= 3:
         raise ValueError("two segments with balls of radius one find pairs of up to 3 differing bits")
     prepare(nodes.sparkSession)
-    # a key is a segment's word with the segment's number above it; the word itself, then each zero bit raised
-    word = ["shiftrightunsigned(fp, 32)", "fp & 4294967295L"]
-    keys = [
-        f"transform(array_insert(filter(transform(sequence(0, 31), i -> if(({w} & shiftleft(1L, i)) = 0, {w} | shiftleft(1L, i), -1L)), k -> k >= 0), 1, {w}), k -> k + {seg << 33}L)"
-        for seg, w in enumerate(word)
-    ]
-    named = nodes.select(F.col(node).alias("id"), F.col(fp).alias("fp"), *([F.col(check).alias("check")] if check else [])).where("fp is not null and id is not null")
-    rows = named.select("*", F.explode(F.concat(*(F.expr(k) for k in keys))).alias("key")).repartition("key").sortWithinPartitions("key")
-
-    def links(k: np.ndarray, i: np.ndarray, f: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    # a key is a segment's word with the segment's number above it
+    words = ["shiftrightunsigned(fp, 32)", "fp & 4294967295L"]
+    keys = F.concat(*(F.expr(f"transform({_ball(w, 32)}, k -> k + {seg << 33}L)") for seg, w in enumerate(words)))
+    named = nodes.select(F.col(node).alias("id"), F.col(fp).alias("fp")).where("fp is not null and id is not null")
+    rows = named.select("*", F.explode(keys).alias("key"))
+    hot = written(_hot_words(named, words), "hot-words")
+    if not hot.isEmpty():
+        # names of two words may fall together: what meets is compared in full anyway
+        other = named.select("*", F.explode(keys).alias("key")).join(hot, "key", "left_semi").withColumn("other", F.expr(f"if(key < {1 << 33}L, {words[1]}, {words[0]})"))
+        halves = F.concat(*(F.expr(f"transform({_ball(w, 16)}, k -> k + {half << 17}L)") for half, w in enumerate(["shiftrightunsigned(other, 16)", "other & 65535L"])))
+        split = other.select("id", "fp", "key", F.explode(halves).alias("half")).select("id", "fp", F.xxhash64("key", "half").alias("key"))
+        rows = rows.join(hot, "key", "left_anti").select("id", "fp", "key").union(split)
+    rows = rows.repartition("key").sortWithinPartitions("key")
+
+    def links(k: np.ndarray, i: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.diff(k)) + 1
         starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(k)]))
         s = starts[ends - starts == 2]  # by far the most frequent case beside single rows
-        ok = s[(np.bitwise_count(f[s] ^ f[s + 1]) <= bits) & (np.bitwise_count(c[s] ^ c[s + 1]) <= check_bits)]
+        ok = s[np.bitwise_count(f[s] ^ f[s + 1]) <= bits]
         a, b = i[ok].tolist(), i[ok + 1].tolist()
         for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-            more_a, more_b = _forest(i[s:e], f[s:e], c[s:e], bits, check_bits)
+            more_a, more_b = _forest(i[s:e], f[s:e], bits)
             a += more_a
             b += more_b
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -111,18 +133,18 @@ def fingerprint_links(nodes: DataFrame, fp: str = "fp", node: str = "id", bits:
         # rows of a key may span batches: the last key of a batch waits for the next batch
         waiting: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("key", "id", "fp", *(["check"] if check else []))]
-            if not len(cols[0]):
+            k, i, f = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("key", "id", "fp"))
+            if not len(k):
                 continue
-            k, i, f, c = *cols[:2], *(x.view(np.uint64) for x in (cols[2], cols[-1]))
+            f = f.view(np.uint64)
             cut = int(np.searchsorted(k, k[-1]))  # keys are sorted within the batch
             if cut == 0 and (not waiting or waiting[-1][0][-1] == k[-1]):
-                waiting.append((k, i, f, c))
+                waiting.append((k, i, f))
                 continue
-            yield links(*(np.concatenate([*(w[n] for w in waiting), x[:cut]]) for n, x in enumerate((k, i, f, c))))
-            waiting = [tuple(x[cut:] for x in (k, i, f, c))]
+            yield links(*(np.concatenate([*(w[n] for w in waiting), x[:cut]]) for n, x in enumerate((k, i, f))))
+            waiting = [tuple(x[cut:] for x in (k, i, f))]
         if waiting:
-            yield links(*(np.concatenate([w[n] for w in waiting]) for n in range(4)))
+            yield links(*(np.concatenate([w[n] for w in waiting]) for n in range(3)))
 
     return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
