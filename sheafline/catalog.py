@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sheafline import streaming
+from sheafline import cases, streaming
 from sheafline.functions import encoding
 from sheafline.functions import text as X
 from sheafline.functions import time as CLOCK
@@ -84,11 +84,12 @@ def chat_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MESSAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY msg) AS index FROM m)
-    SELECT conv, msg, '{{"title":"","index":' || index || ',"role":"' || role || '","time":"","text":' || to_json(text) || '}}' AS line FROM n WHERE trim(text) <> ''"""
+    f"WITH {MESSAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY msg) AS index, dense_rank() OVER (ORDER BY conv) AS pos FROM m) "
+    """SELECT conv, msg, '{"conversation":' || pos || ',"title":"","index":' || index || ',"role":"' || role || '","time":"","text":' || to_json(text) || '}' AS line FROM n WHERE trim(text) <> ''"""
 )
 def chat_jsonl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.jsonl_rows(_messages(spark, sf_dir))
+    m = _messages(spark, sf_dir)
+    return chat.jsonl_rows(m.join(chat.in_order(chat.conversations(m)).select("conv", "conv_pos"), "conv"))
 
 
 QUOTE = "CASE WHEN regexp_matches({0}, '[\",\\r\\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
@@ -162,13 +163,23 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in X.text_stats("text").items()))
 
 
+_GARBLED = r"""len(regexp_extract_all(left(text, 4000), '\x{FFFD}'))::BIGINT AS replaced,
+    len(regexp_extract_all(left(text, 4000), '[ÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞß][\x{80}-\x{FF}]'))::BIGINT AS mojibake, len(regexp_extract_all(left(text, 4000), '[\x{E000}-\x{F8FF}]'))::BIGINT AS private,
+    len(regexp_extract_all(left(text, 4000), '[\x{3000}-\x{303F}\x{3100}-\x{312F}\x{31C0}-\x{31EF}]'))::BIGINT AS rare, greatest(1, least(length(text), 4000)) AS n"""
+
+
 @query(
-    r"""SELECT doc_id, len(regexp_extract_all(left(text, 4000), '\x{FFFD}'))::BIGINT AS replaced, len(regexp_extract_all(left(text, 4000), '[\x{C3}\x{C2}][\x{80}-\x{BF}]|锟斤拷|烫烫烫|屯屯屯'))::BIGINT AS mojibake,
-    len(regexp_extract_all(left(text, 4000), '[\x{E000}-\x{F8FF}]'))::BIGINT AS private FROM documents"""
+    f"""WITH g AS (SELECT doc_id, {_GARBLED} FROM documents UNION ALL
+    SELECT -doc_id - 1, {_GARBLED} FROM (SELECT doc_id, repeat(CASE doc_id % 4 WHEN 0 THEN 'Ð¿Ñ' WHEN 1 THEN chr(65533) WHEN 2 THEN '、。' ELSE chr(57345) END, 20) || left(text, 300) AS text FROM documents))
+    SELECT doc_id, replaced, mojibake, private, rare, (replaced / n > 0.02 OR mojibake / n > 0.05 OR private / n > 0.02 OR rare / n > 0.3) AS garbled FROM g"""
 )
 def garbled_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and beside it one damaged in one of four ways."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bad = F.element_at(F.array(*(F.lit(x) for x in ("Ð¿Ñ", "�", "、。", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = d.union(d.select(-F.col("doc_id") - 1, F.concat(F.repeat(bad, F.lit(20)), F.substring("text", 1, 300))))
     m = X.garbled_measures("text")
-    return table(spark, sf_dir, "documents").select("doc_id", *(m[k].alias(k) for k in ("replaced", "mojibake", "private")))
+    return d.select("doc_id", *(m[k].alias(k) for k in ("replaced", "mojibake", "private", "rare")), X.looks_garbled("text").alias("garbled"))
 
 
 @query(f"SELECT doc_id, {QUOTE.format('text')} AS cell FROM documents")
@@ -459,13 +470,7 @@ def analyze_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.analyze(p).select("page_id", "size", "ext", "family", "encoding", "default_target")
 
 
-def _matrix_sql() -> str:
-    rows = sorted({(s, t) for _, _, src, dst in registry.CONVERTERS for s in src.split() for t in dst.split()})
-    values = ", ".join(f"('{s}', '{t}', '{'>'.join(registry.candidates(s, t))}', {repr(registry.DEFAULT_TARGETS[s]) if s in registry.DEFAULT_TARGETS else 'NULL'})" for s, t in rows)
-    return f"SELECT * FROM (VALUES {values}) AS v(source, target, cascade, default_target)"
-
-
-@query(_matrix_sql())
+@query(cases.MATRIX_SQL)
 def registry_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.matrix(spark)
 
@@ -552,11 +557,11 @@ def image_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", w.alias("width"), h.alias("height"))
 
 
-@query("SELECT p_partkey, list_concat(range(2, 2 + p_size % 7)::INT[], [1]::INT[]) AS selected FROM part WHERE p_size % 7 > 0")
+@query("SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN list_concat(range(2, 2 + p_size % 7)::INT[], [1]::INT[]) END AS selected, CASE WHEN p_size % 7 = 0 THEN 'PDF_PAGES_INVALID' END AS error_code FROM part")
 def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = (F.col("p_size") % 7 + 1).cast("string")
-    p = table(spark, sf_dir, "part").where("p_size % 7 > 0").select("p_partkey", F.concat(F.lit("2-"), last, F.lit("，1,2")).alias("pages"), F.lit(50).alias("n_pages"))
-    return pdf_items.ranges(p).select("p_partkey", "selected")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("2-"), last, F.lit("，1,2")).alias("pages"), F.lit(50).alias("n_pages"))
+    return pdf_items.ranges(p).select("p_partkey", "selected", "error_code")
 
 
 @query(
@@ -568,10 +573,28 @@ def page_run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf_items.page_runs(p, "k")
 
 
-@query("SELECT p_partkey, ['-y', '-ss', (p_size)::VARCHAR, '-to', '100', '-i', 'a.mp4', '-c', 'copy', p_partkey || '.mp4'] AS argv FROM part")
+_CRF = "'-preset', 'veryfast', '-crf', (p_size % 40 + 1)::VARCHAR, '-pix_fmt', 'yuv420p', '-c:a', 'aac', '-b:a', '192k'"
+
+
+@query(
+    f"""SELECT p_partkey, CASE p_partkey % 6
+    WHEN 0 THEN ['-y', '-ss', p_size::VARCHAR, '-i', 'a.mp4', '-t', (100 - p_size)::VARCHAR, '-c:v', 'libx264', {_CRF}, 'o.mp4']
+    WHEN 1 THEN ['-y', '-i', 'a.mp4', '-vf', 'scale=''if(gt(iw,ih),min(720,iw),-2)'':''if(gt(iw,ih),-2,min(720,ih))''', '-c:v', 'libx264', {_CRF}, 'o.mp4']
+    WHEN 2 THEN ['-y', '-i', 'a.mp4', '-c:v', 'libvpx-vp9', '-crf', (p_size % 40 + 1)::VARCHAR, '-b:v', '0', '-c:a', 'libopus', '-b:a', '192k', 'o.webm']
+    WHEN 3 THEN ['-y', '-i', 'a.mp4', '-filter_complex', 'fps=' || (p_size % 30 + 1) || ',scale=iw:-1:flags=lanczos,split[a][b];[a]palettegen[p];[b][p]paletteuse', '-an', 'o.gif']
+    WHEN 4 THEN ['-y', '-i', 'a.mp3', '-vn', '-c:a', 'libmp3lame', '-b:a', '128k', 'o.mp3']
+    ELSE ['-y', '-ss', p_size || '.5', '-i', 'a.mp4', '-frames:v', '1', '-q:v', '2', 'o.jpg'] END AS argv FROM part"""
+)
 def media_argv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = F.create_map(F.lit("start"), F.col("p_size").cast("string"), F.lit("end"), F.lit("1:40"))
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("trim").alias("action"), F.lit("a.mp4").alias("source"), F.concat(F.col("p_partkey").cast("string"), F.lit(".mp4")).alias("target"), options.alias("options"))
+    cases = (("trim", "a.mp4", "o.mp4"), ("convert", "a.mp4", "o.mp4"), ("convert", "a.mp4", "o.webm"), ("convert", "a.mp4", "o.gif"), ("compress", "a.mp3", "o.mp3"), ("extractFrame", "a.mp4", "o.jpg"))
+    pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in cases)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    size, case = F.col("p_size"), F.col("p_partkey") % 6
+    options = {
+        "trimStart": size.cast("string"), "trimEnd": F.lit("00:01:40"), "videoCrf": (size % 40 + 1).cast("string"), "gifFps": (size % 30 + 1).cast("string"),
+        "frameAt": F.concat(F.lit("0:"), size.cast("string"), F.lit(".5")), "scale": F.when(case == 1, "720").otherwise("source"), "audioBitrate": F.when(case == 4, "320k").otherwise("192k"),
+    }
+    given = F.create_map(*(x for k, v in options.items() for x in (F.lit(k), v)))
+    p = table(spark, sf_dir, "part").select("p_partkey", pick(0).alias("action"), pick(1).alias("source"), pick(2).alias("target"), given.alias("options"))
     return media.commands(p).select("p_partkey", "argv")
 
 
@@ -595,3 +618,7 @@ def window_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = streaming.sessions(_events(spark, sf_dir), "ts", "30 minutes", ["user_id"], n=F.count("*"))
     return got.select("user_id", "n", F.unix_micros("session_start").alias("start_us"))
+
+
+QUERIES |= cases.QUERIES
+ORACLES |= cases.ORACLES

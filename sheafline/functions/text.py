@@ -14,7 +14,7 @@ ILLEGAL_IN_NAMES = '[\\\\/:*?"<>|\\x00-\\x1f]'
 #: Aliases of formats, media types of extensions, names of roles.
 ALIASES = {
     "jpeg": "jpg", "jpe": "jpg", "htm": "html", "xhtml": "html", "yml": "yaml", "markdown": "md", "mdx": "md", "tif": "tiff", "ndjson": "jsonl",
-    "ssa": "ass", "text": "txt", "log": "txt", "tgz": "tgz", "conf": "ini", "cfg": "ini", "properties": "ini",
+    "ssa": "ass", "text": "txt", "log": "txt", "tgz": "tar", "conf": "ini", "cfg": "ini", "properties": "ini", "jfif": "jpg", "heif": "heic", "mpga": "mp3", "wavpack": "wav", "ssml": "txt",
 }
 MIME = {
     "txt": "text/plain", "md": "text/markdown", "json": "application/json", "jsonl": "application/x-ndjson", "csv": "text/csv", "tsv": "text/tab-separated-values",
@@ -29,9 +29,14 @@ MIME = {
     "mov": "video/quicktime", "avi": "video/x-msvideo", "srt": "application/x-subrip", "vtt": "text/vtt", "ass": "text/x-ssa", "base64": "text/plain",
 }
 ROLES = {
-    "user": "user", "human": "user", "me": "user", "我": "user", "用户": "user", "你": "user", "您": "user", "customer": "user", "assistant": "assistant", "ai": "assistant",
-    "bot": "assistant", "model": "assistant", "gpt": "assistant", "chatgpt": "assistant", "claude": "assistant", "gemini": "assistant", "助手": "assistant",
-    "system": "system", "developer": "system", "系统": "system", "tool": "tool", "function": "tool", "工具": "tool",
+    "user": "user", "human": "user", "prompt": "user", "我": "user", "你": "user", "用户": "user", "提问": "user", "me": "user", "您": "user", "customer": "user",
+    "assistant": "assistant", "ai": "assistant", "bot": "assistant", "model": "assistant", "gpt": "assistant", "机器人": "assistant", "助手": "assistant", "模型": "assistant", "回答": "assistant",
+    "chatgpt": "assistant", "claude": "assistant", "gemini": "assistant",
+    "system": "system", "developer": "system", "系统": "system", "指令": "system", "tool": "tool", "function": "tool", "observation": "tool", "工具": "tool",
+}
+ENCODING_NAMES = {
+    "utf-8": "UTF-8", "utf-8-bom": "UTF-8 (带 BOM)", "utf-16le": "UTF-16 LE", "utf-16be": "UTF-16 BE", "gb18030": "GB18030 (国标全集)", "gbk": "GBK / GB2312 (简体常见)", "big5": "Big5 (繁体)",
+    "shift_jis": "Shift_JIS (日文)", "euc-kr": "EUC-KR (韩文)", "windows-1252": "Windows-1252 (西欧)",
 }
 ROLE_NAMES = {"user": "我", "assistant": "AI", "system": "系统", "tool": "工具", "unknown": "未知"}
 KIND_TAGS = {"thinking": "（思考）", "tool_use": "（工具调用）", "tool_result": "（工具结果）"}
@@ -227,21 +232,40 @@ def text_stats(text: Column | str) -> dict[str, Column]:
     }
 
 
+#: Signs of text that was decoded wrongly, and the share of characters above which each of them tells.
+GARBLED = {
+    "replaced": ("\\x{FFFD}", 0.02),
+    "mojibake": ("[ÃÂÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞß][\\x{80}-\\x{FF}]", 0.05),
+    "private": ("[\\x{E000}-\\x{F8FF}]", 0.02),
+    "rare": ("[\\x{3000}-\\x{303F}\\x{3100}-\\x{312F}\\x{31C0}-\\x{31EF}]", 0.3),
+}
+
+
 def garbled_measures(text: Column | str, most: int = 4000) -> dict[str, Column]:
-    """Replacement characters, mojibake pairs and private-use characters in the first `most` characters (a probe)."""
+    """Replacement characters, mojibake pairs, private-use and rare characters in the first `most` characters (a probe)."""
     t = F.substring(F.coalesce(_c(text), F.lit("")), 1, most)
-    return {
-        "replaced": F.regexp_count(t, F.lit("\\x{FFFD}")).cast("long"),
-        "mojibake": F.regexp_count(t, F.lit("[\\x{C3}\\x{C2}][\\x{80}-\\x{BF}]|锟斤拷|烫烫烫|屯屯屯")).cast("long"),
-        "private": F.regexp_count(t, F.lit("[\\x{E000}-\\x{F8FF}]")).cast("long"),
-        "size": F.length(t).cast("long"),
-    }
+    return {k: F.regexp_count(t, F.lit(pattern)).cast("long") for k, (pattern, _) in GARBLED.items()} | {"size": F.length(t).cast("long")}
 
 
 def looks_garbled(text: Column | str) -> Column:
     m = garbled_measures(text)
-    share = lambda k: m[k] / F.greatest(m["size"], F.lit(1))
-    return (share("replaced") > 0.01) | (share("mojibake") > 0.02) | (share("private") > 0.02)
+    out = F.lit(False)
+    for k, (_, most) in GARBLED.items():
+        out = out | (m[k] / F.greatest(m["size"], F.lit(1)) > most)
+    return out
+
+
+def preview(text: Column | str, most: int = 2000) -> Column:
+    """The first characters of a text, as a report shows it; null is empty."""
+    return F.substring(F.coalesce(_c(text), F.lit("")), 1, most)
+
+
+def encoding_label(encoding: Column | str, confidence: Column | str) -> Column:
+    """An encoding's name with what speaks for it: certain, or a share in percent."""
+    e, c = _c(encoding), _c(confidence)
+    name = F.coalesce(lookup(ENCODING_NAMES, e), e)
+    sure = (e == "utf-8") & (c >= 0.95)
+    return F.concat(name, F.when(sure, F.lit("（确定）")).otherwise(F.concat(F.lit("（置信度 "), F.floor(c * 100 + 0.5).cast("string"), F.lit("%）"))))
 
 
 def control_share(text: Column | str) -> Column:

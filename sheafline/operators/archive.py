@@ -163,11 +163,31 @@ def pack(files: list[tuple[str, bytes]], kind: str = "zip") -> bytes:
                 info = tarfile.TarInfo(name)
                 info.size = len(body)
                 t.addfile(info, io.BytesIO(body))
+    elif kind == "tgz":
+        return gzip.compress(pack(files, "tar"), mtime=0)
+    elif kind == "gz":
+        if len(files) != 1:
+            raise CodedError("ARCHIVE_UNSUPPORTED_FORMAT", f"gz holds one file, not {len(files)}")
+        return gzip.compress(files[0][1], mtime=0)
     else:
         raise CodedError("ARCHIVE_UNSUPPORTED_FORMAT", f"cannot write {kind}")
     return out.getvalue()
 
 
+def manifest_json(found: DataFrame, *key: str, name: str = "name") -> DataFrame:
+    """key, manifest: a JSON object with the file's name, counts, the sum of sizes, and an object for each visible entry; names,
+    sizes, times (ISO, UTC) and checksums as hex."""
+    files = found.where("error_code is null and not is_dir").withColumn("__hidden", is_hidden("entry"))
+    iso = F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    entry = F.struct(F.col("entry_pos"), F.col("entry").alias("name"), "size", F.col("compressed_size").alias("compressedSize"), iso.alias("modified"), F.upper(F.lpad(F.hex("crc32"), 8, "0")).alias("crc32"))
+    rows = files.groupBy(*key).agg(
+        F.first(name).alias("file"), F.count_if(~F.col("__hidden")).cast("long").alias("entryCount"), F.coalesce(F.sum(F.when(~F.col("__hidden"), F.col("size"))), F.lit(0)).cast("long").alias("totalSize"),
+        F.count_if("__hidden").cast("long").alias("hiddenSkipped"), F.array_sort(F.collect_list(F.when(~F.col("__hidden"), entry))).alias("entries"),
+    )
+    slim = F.transform("entries", lambda e: e.dropFields("entry_pos"))
+    return rows.select(*key, F.to_json(F.struct("file", "entryCount", "totalSize", "hiddenSkipped", slim.alias("entries")), {"ignoreNullFields": "false"}).alias("manifest"))
+
+
 def repackage(df: DataFrame, content: str = "content", name: str = "name", kind: str = "zip", hidden: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
     """df with packed: each archive's visible files in a new one."""
     from sheafline.plans.rows import map_rows

@@ -15,7 +15,8 @@ from sheafline.functions.time import format_time
 from sheafline.plans.tables import numbered
 
 THINKING = ("thinking", "tool_use", "tool_result")
-RULE = "=" * 40
+#: Fixed value: the line above and below a title.
+RULE = "─" * 32
 
 
 def messages(df: DataFrame, conv: str, msg: str, role: str = "role", text: str = "text", **extra: str) -> DataFrame:
@@ -159,11 +160,11 @@ def timeline(df: DataFrame) -> DataFrame:
 
 
 def jsonl_rows(df: DataFrame) -> DataFrame:
-    """conv, msg, line: one JSON object a message that is not blank; index counts blank ones too."""
+    """conv, msg, line: one JSON object a message that is not blank; index counts blank ones too, and conversation, where df
+    has conv_pos, is that."""
     nth = F.row_number().over(W.partitionBy("conv").orderBy("msg"))
-    row = F.struct(
-        F.coalesce("title", F.lit("")).alias("title"), F.col("index"), F.col("role"), F.coalesce(format_time("time"), F.lit("")).alias("time"), F.col("text")
-    )
+    pos = [F.col("conv_pos").alias("conversation")] if "conv_pos" in df.columns else []
+    row = F.struct(*pos, F.coalesce("title", F.lit("")).alias("title"), F.col("index"), F.col("role"), F.coalesce(format_time("time"), F.lit("")).alias("time"), F.col("text"))
     return drop_blank(df.withColumn("index", nth)).select("conv", "msg", F.to_json(row).alias("line"))
 
 
@@ -173,3 +174,91 @@ def csv_rows(df: DataFrame, role_names: bool = True) -> DataFrame:
     h = drop_blank(df.withColumn("index", nth))
     line = X.csv_line(F.coalesce("title", F.lit("")), F.col("index").cast("string"), X.role_label("role", F.col("name"), None, role_names), F.coalesce(format_time("time"), F.lit("")), F.col("text"))
     return h.select("conv", "msg", line.alias("line"))
+
+
+#: How an HTML page of conversations looks.
+PAGE_STYLE = "body{margin:2em auto;max-width:54em;line-height:1.6;font-family:sans-serif}.meta{color:#666}pre.body{white-space:pre-wrap;background:#f6f6f6;padding:.6em}"
+PAGE_HEAD = '<!DOCTYPE html>\n<html lang="zh-CN">\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1">\n'
+
+
+def _listed(col: str, order: str, sep: str) -> Column:
+    return F.expr(f"listagg({col}, '{sep}') WITHIN GROUP (ORDER BY {order})")
+
+
+def contents(df: DataFrame, *key: str, timestamps: bool = True) -> DataFrame:
+    """key, conv, conv_pos (1-based within the key), n_conv, title, n_messages, span: what a table of contents says."""
+    span = F.lit("")
+    if timestamps:
+        first, last = format_time("first_time"), format_time("last_time")
+        span = F.when(F.col("first_time").isNull(), "").when(first == last, first).otherwise(F.concat(first, F.lit(" ~ "), last))
+    convs = df.groupBy(*key, "conv").agg(F.first("title", ignorenulls=True).alias("title"), F.count("*").cast("long").alias("n_messages"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+    by = W.partitionBy(*key)
+    return convs.select(*key, "conv", F.row_number().over(by.orderBy("conv")).alias("conv_pos"), F.count("*").over(by).alias("n_conv"), F.coalesce("title", F.lit("")).alias("title"), "n_messages", span.alias("span"))
+
+
+def render(df: DataFrame, *key: str, target: str = "txt", layout: str = "chat", titles: bool = True, role_names: bool = True, timestamps: bool = True) -> DataFrame:
+    """key, name, body: one document for each key, of its conversations in their order; with conv among the keys, one each.
+
+    txt and md in the layouts chat, transcript, plain and timeline; html, jsonl and csv in their own.  Documents of several
+    conversations begin with a table of contents and each conversation with its title, unless `titles` is off.  A document
+    is put together in one row, as it is written.
+    """
+    per = [F.col(k) for k in key]
+    group = F.struct(*per, F.col("conv").alias("__conv"))
+    toc = contents(df, *key, timestamps=timestamps)
+    at = df.drop("conv_pos").join(toc.select(*key, "conv", "conv_pos"), [*dict.fromkeys([*key, "conv"])]).withColumn("conv", group)
+    unpack = [F.col(f"conv.{k}").alias(k) for k in key]
+    markdown, html = target == "md", target == "html"
+    item = F.concat(F.col("title"), F.lit(" —— "), F.col("n_messages").cast("string"), F.lit(" 条"), F.when(F.col("span") != "", F.concat(F.lit("，"), F.col("span"))).otherwise(F.lit("")))
+    dotted = F.concat(F.col("conv_pos").cast("string"), F.lit(". "), item)
+    several = F.col("n_conv") > 1
+    whole = F.when(several, F.concat(F.lit("聊天记录（"), F.col("n_conv").cast("string"), F.lit(" 个会话）"))).otherwise(F.col("only"))
+    heads = toc.withColumn("__item", F.concat(F.lit("<li>"), X.html_escape(item), F.lit("</li>")) if html else dotted if markdown else F.concat(F.lit("  "), dotted))
+    heads = heads.groupBy(*key).agg(F.max("n_conv").alias("n_conv"), F.max("title").alias("only"), _listed("__item", "conv_pos", "" if html else "\\n").alias("items")).withColumn("whole", whole)
+    stem = F.when(several, F.concat(F.lit("会话记录-"), F.col("n_conv").cast("string"), F.lit("个会话"))).otherwise(F.when(F.col("only") == "", F.lit("会话记录")).otherwise(X.safe_file_name("only")))
+    name = F.concat(stem, F.lit(f".{target}")).alias("name")
+
+    if target in ("jsonl", "csv"):
+        rows = (jsonl_rows(at) if target == "jsonl" else csv_rows(at, role_names)).select(*unpack, F.struct("conv", "msg").alias("o"), "line")
+        end = "\\n" if target == "jsonl" else "\\r\\n"
+        body = rows.groupBy(*key).agg(_listed("line", "o", end).alias("body"))
+        first = "" if target == "jsonl" else "会话,序号,角色,时间,内容\r\n"
+        made = heads.join(body, list(key), "left")
+        text = F.when(F.col("body").isNotNull(), F.concat("body", F.lit("\n" if target == "jsonl" else "\r\n"))).otherwise(F.lit(""))
+        return made.select(*key, name, F.concat(F.lit(first), text).alias("body"))
+
+    if layout == "timeline" and not html:
+        blocks = message_blocks(at if titles else at.withColumn("title", F.lit(None).cast("string")), layout, markdown, role_names, timestamps)
+        if titles:  # a document of one conversation does not name it on every line
+            single = message_blocks(at.withColumn("title", F.lit(None).cast("string")), layout, markdown, role_names, timestamps).withColumnRenamed("block", "bare").drop("time")
+            blocks = blocks.join(single, ["conv", "msg"])
+            counts = heads.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key)), "n_conv")
+            on = [F.col(f"conv.{k}").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+            blocks = blocks.join(counts, on).withColumn("block", F.when(several, F.col("block")).otherwise(F.col("bare")))
+        order = F.struct(F.col("time").isNull(), "time", "conv", "msg") if timestamps else F.struct("conv", "msg")
+        parts = blocks.select(*unpack, order.alias("o"), "block")
+        body = parts.groupBy(*key).agg(_listed("block", "o", "\\n\\n").alias("body"))
+    else:
+        blocks = message_blocks(at, "plain" if layout == "plain" else "html" if html else layout, markdown, role_names, timestamps)
+        if html and layout == "plain":
+            blocks = blocks.withColumn("block", X.html_escape("block"))
+        each = blocks.groupBy("conv").agg(_listed("block", "msg", "\\n" if html and layout != "plain" else "\\n\\n").alias("block"))
+        each = each.withColumn("block", F.regexp_replace("block", r"\s+$", "") if not html else F.concat(F.lit('<pre class="body">'), "block", F.lit("</pre>")) if layout == "plain" else F.col("block"))
+        parts = each.select(*unpack, F.col("conv.__conv").alias("__conv"), F.lit(1).alias("__part"), "block")
+        if (titles and layout != "plain") or html:
+            title = F.col("title")
+            shown = F.concat(F.lit("<hr>"), F.concat(F.lit("\n<h2>"), X.html_escape("title"), F.lit("</h2>")) if titles else F.lit("")) if html else F.concat(F.lit("## "), title) if markdown or layout == "transcript" else F.concat(F.lit(f"{RULE}\n会话标题："), title, F.lit(f"\n{RULE}"))
+            parts = parts.unionByName(toc.select(*key, F.col("conv").alias("__conv"), F.lit(0).alias("__part"), shown.alias("block")).select(*parts.columns))
+        parts = parts.select(*key, F.struct("__conv", "__part").alias("o"), "block")
+        body = parts.groupBy(*key).agg(_listed("block", "o", "\\n" if html else "\\n\\n\\n" if layout == "plain" else "\\n\\n").alias("body"))
+    made = heads.join(body, list(key), "left").withColumn("body", F.coalesce("body", F.lit("")))
+    with_toc = several & F.lit(titles)
+    if html:
+        top = F.concat(F.lit(f"{PAGE_HEAD}<title>"), X.html_escape("whole"), F.lit(f"</title>\n<style>{PAGE_STYLE}</style>\n</head>\n<body>\n<main>\n<h1>"), X.html_escape("whole"), F.lit("</h1>\n"))
+        listed = F.when(with_toc, F.concat(F.lit('<ul class="toc">'), "items", F.lit("</ul>\n"))).otherwise(F.lit(""))
+        return made.select(*key, name, F.concat(top, listed, "body", F.lit("\n</main>\n</body>\n</html>\n")).alias("body"))
+    if layout != "plain" and (markdown or layout == "chat"):
+        first = F.concat(F.lit("> 共 "), F.col("n_conv").cast("string"), F.lit(" 个会话\n\n")) if markdown else F.concat(F.lit("会话目录（共 "), F.col("n_conv").cast("string"), F.lit(" 个）\n"))
+        made = made.withColumn("body", F.when(with_toc, F.concat(first, "items", F.lit("\n\n"), "body")).otherwise(F.col("body")))
+    text = F.regexp_replace("body", r"\s+$", "")
+    return made.select(*key, name, F.when(text == "", F.lit("")).otherwise(F.concat(text, F.lit("\n"))).alias("body"))

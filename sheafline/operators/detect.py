@@ -22,13 +22,17 @@ MAGIC = (
     (0, "89504E470D0A1A0A", "png", 1.0), (0, "FFD8FF", "jpg", 1.0), (0, "47494638", "gif", 1.0), (0, "00000100", "ico", 0.95), (0, "25504446", "pdf", 1.0),
     (0, "1F8B", "gz", 0.95), (0, "377ABCAF271C", "7z", 1.0), (0, "526172211A07", "rar", 1.0), (0, "4F676753", "ogg", 0.95), (0, "664C6143", "flac", 1.0), (0, "494433", "mp3", 0.95),
     (0, "FFFB", "mp3", 0.8), (0, "FFF3", "mp3", 0.8), (0, "FFF1", "aac", 0.8), (0, "FFF9", "aac", 0.8), (0, "1A45DFA3", "mkv", 0.9), (0, "D0CF11E0A1B11AE1", "xls", 0.7), (0, "49492A00", "tiff", 1.0),
-    (0, "4D4D002A", "tiff", 1.0), (0, "774F4632", "woff2", 1.0), (0, "00010000", "ttf", 0.8), (0, "4F54544F", "otf", 0.9), (257, "7573746172", "tar", 0.98),
+    (0, "4D4D002A", "tiff", 1.0), (0, "774F4632", "woff2", 1.0), (0, "00010000", "ttf", 0.8), (0, "4F54544F", "otf", 0.9), (0, "774F4646", "woff", 1.0),
+    (0, "53514C69", "sqlite", 1.0), (0, "0061736D", "wasm", 1.0), (0, "CAFEBABE", "class", 0.9), (257, "7573746172", "tar", 0.98),
 )
 RIFF = {"57415645": "wav", "41564920": "avi", "57454250": "webp"}
-BRANDS = {"heic": "heic", "heix": "heic", "mif1": "heic", "avif": "avif", "avis": "avif", "M4A ": "m4a", "M4B ": "m4a", "qt  ": "mov", "3gp4": "3gp", "3gp5": "3gp"}
+BRANDS = {
+    "heic": "heic", "heix": "heic", "hevc": "heic", "heim": "heic", "heis": "heic", "mif1": "heic", "msf1": "heic", "avif": "avif", "avis": "avif", "M4A ": "m4a", "M4B ": "m4a", "qt  ": "mov", "3gp4": "3gp",
+    "3gp5": "3gp",
+}
 FAMILIES = {
     "image": "png jpg gif ico webp bmp tiff svg heic avif pnm", "audio": "mp3 ogg flac aac wav m4a opus", "video": "mkv avi mp4 mov webm 3gp", "archive": "zip gz tar tgz 7z rar",
-    "document": "pdf docx odt epub rtf pptx", "table": "xlsx xls ods csv tsv", "subtitle": "srt vtt ass", "text": "txt md json jsonl html xml yaml ini",
+    "font": "ttf otf woff woff2", "binary": "sqlite wasm class", "document": "pdf docx odt epub rtf pptx", "table": "xlsx xls ods csv tsv", "subtitle": "srt vtt ass", "text": "txt md json jsonl html xml yaml ini",
 }
 
 
@@ -112,6 +116,16 @@ RULES = (
 )
 
 
+#: A garbled text with control characters beyond this share is no text.
+MOST_CONTROL = 0.02
+GARBLED = [(re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), p)), most) for p, most in X.GARBLED.values()]
+
+
+def garbled(text: str) -> bool:
+    """What text.looks_garbled says of a column, of one text."""
+    return any(len(p.findall(text)) > most * len(text) for p, most in GARBLED)
+
+
 def text_kind(text: str, name: str = "") -> tuple[str, float]:
     """Format and confidence of a text; `bin` if it does not read as text."""
     ext = name.rpartition(".")[2].lower() if "." in name else ""
@@ -124,6 +138,8 @@ def text_kind(text: str, name: str = "") -> tuple[str, float]:
         if lines and all(map(_is_json, lines)):
             return "jsonl", 0.95
     sample = t[: 1 << 16]
+    if sum(c < " " and c not in "\t\n\r" for c in sample) > MOST_CONTROL * len(sample) and garbled(t[:4000]):
+        return "bin", 0.3
     for rule, kind, sure in RULES:
         if re.match(rule, sample):
             return kind, sure
@@ -154,7 +170,7 @@ def look_inside(data: bytes | None, name: str | None, magic: str | None) -> tupl
         return zip_kind(data), 0.98
     if not data:
         return "bin", 0.0
-    return text_kind(encoding.decode(data[: 1 << 20]), name)
+    return text_kind(encoding.decode(data), name)
 
 
 def analyze(df: DataFrame, content: str = "content", name: str = "name") -> DataFrame:

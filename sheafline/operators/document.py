@@ -423,8 +423,21 @@ def plain_text(md: str | None) -> str:
     return "\n".join(out) + ("\n" if out else "")
 
 
+def _chinese_number(n: int) -> str:
+    """1 to 99 in Chinese numerals; larger numbers in figures."""
+    if n > 99:
+        return str(n)
+    tens, ones = divmod(n, 10)
+    return ("" if tens < 2 else DIGITS[tens]) + ("十" if tens else "") + (DIGITS[ones] if ones else "")
+
+
+#: Numerals of one digit, and how a numbered heading of each level begins.
+DIGITS = "零一二三四五六七八九"
+NUMBERED = {1: "{c}、", 2: "（{c}）", 3: "{n}. "}
+
+
 def restyle_headings(md: str | None, style: str = "hash") -> str:
-    """hash leaves headings, number puts 1.2. before them, plain takes their marks."""
+    """hash leaves headings; number writes 一、 （一） 1. (1) before them, by level; plain takes their marks."""
     if style not in ("hash", "number", "plain"):
         raise CodedError("DOCUMENT_BAD_OPTION", f"no such heading style: {style}")
     n, out, fenced = [0] * 6, [], False
@@ -432,11 +445,11 @@ def restyle_headings(md: str | None, style: str = "hash") -> str:
         fenced ^= bool(re.match(r"^\s*(```|~~~)", line))
         m = None if fenced else re.match(r"^(#{1,6})\s+(.*)$", line)
         if m and style != "hash":
-            k = len(m.group(1))
+            k, label = len(m.group(1)), m.group(2).strip()
             n[k - 1] += 1
             n[k:] = [0] * (6 - k)
-            label = ".".join(str(x) for x in n[:k] if x) + ". "
-            line = m.group(2) if style == "plain" else f"{m.group(1)} {label}{m.group(2)}"
+            mark = NUMBERED[k].format(c=_chinese_number(n[k - 1]), n=n[k - 1]) if k <= 3 else "  " * (k - 3) + f"({n[k - 1]}) "
+            line = label if style == "plain" else mark + label
         out.append(line)
     return "\n".join(out)
 

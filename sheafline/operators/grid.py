@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sheafline.functions import text as X
+from sheafline.plans.tables import numbered
 
 CELL_STYLE = "border:1px solid #d0d7de;padding:6px 10px;text-align:left;vertical-align:top"
 HEAD_STYLE = CELL_STYLE + ";background:#f2f4f7;font-weight:600"
@@ -19,11 +20,22 @@ HEAD_STYLE = CELL_STYLE + ";background:#f2f4f7;font-weight:600"
 def from_table(df: DataFrame, order: str, columns: list[str] | None = None) -> DataFrame:
     """A table as a grid whose first row holds the names; order must be a unique column."""
     columns = columns or df.columns
-    body = df.select(F.row_number().over(W.orderBy(order)).alias("__n"), F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("cells"))
+    body = df.select(F.col(order).alias("__order"), F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("cells"))
+    body = numbered(body, F.col("__order"), name="__n")
     head = df.sparkSession.createDataFrame([(1, list(columns))], "row_pos int, cells array<string>")
     return head.unionByName(body.select((F.col("__n") + 1).cast("int").alias("row_pos"), "cells"))
 
 
+def header_names(cells: list[str | None], wide: int = 0) -> list[str]:
+    """What `headers` gives for one row of headers, at least `wide` names."""
+    out, seen = [], {}
+    for i, c in enumerate([*cells, *[None] * (wide - len(cells))], 1):
+        name = (c or "").strip() or f"列{i}"
+        seen[name] = seen.get(name, 0) + 1
+        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+    return out
+
+
 def normalise(grid: DataFrame, *key: str) -> DataFrame:
     """Trailing rows without a filled cell go, and rows are padded with null to the widest of their table."""
     w = W.partitionBy(*key)
@@ -46,6 +58,13 @@ def cells(grid: DataFrame, *key: str) -> DataFrame:
     return grid.select(*key, "row_pos", F.posexplode("cells").alias("__at", "cell")).select(*key, "row_pos", (F.col("__at") + 1).alias("pos"), "cell")
 
 
+def _with_one(rows: DataFrame, of_table: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """rows with what there is once for each table; without a key that is one row, which every task gets."""
+    if key:
+        return rows.join(of_table, list(key))
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(of_table.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
 def json_records(grid: DataFrame, *key: str) -> DataFrame:
     """key, row_pos, record: each body row as a JSON object, in header order, its cells by their kind.
 
@@ -53,7 +72,7 @@ def json_records(grid: DataFrame, *key: str) -> DataFrame:
     """
     names = headers(grid, *key).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda h: h["name"]).alias("names"))
     body = grid.where("row_pos > 1")
-    both = body.join(names, list(key)) if key else body.join(names, how="cross")
+    both = _with_one(body, names, key)
     quoted = lambda s: F.regexp_extract(F.to_json(F.struct(s.alias("v"))), r"^\{\"v\":(.*)\}$", 1)
     pair = F.transform("names", lambda n, i: F.concat(quoted(n), F.lit(":"), X.json_scalar(F.try_element_at("cells", i + 1))))
     return both.select(*key, "row_pos", F.concat(F.lit("{"), F.array_join(pair, ","), F.lit("}")).alias("record"))

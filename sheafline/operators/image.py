@@ -263,10 +263,10 @@ def flatten(px: np.ndarray, background: str = "#ffffff") -> np.ndarray:
 def convert(df: DataFrame, target: str = "png", content: str = "content", max_edge: int = 0, keep_transparency: bool = True, background: str = "#ffffff", mode: str = "PERMISSIVE") -> DataFrame:
     """df with width, height and output of each image in a format."""
     encoder = ENCODERS.get(target)
-    if encoder is None:
-        raise CodedError("IMAGE_UNSUPPORTED_FORMAT", f"cannot write {target}")
 
     def run(data):
+        if encoder is None:
+            raise CodedError("IMAGE_UNSUPPORTED_FORMAT", f"cannot write {target}")
         px = decode(data)
         w, h = plan(px.shape[1], px.shape[0], max_edge)
         px = px if (w, h) == (px.shape[1], px.shape[0]) else resize(px, w, h)

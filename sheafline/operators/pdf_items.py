@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sheafline.plans.rows import CodedError, map_rows
+from sheafline.plans.tables import numbered
 
 CJK = re.compile("[⺀-鿿가-힣豈-﫿＀-￯]")
 
@@ -73,3 +74,51 @@ def page_runs(pages: DataFrame, *key: str) -> DataFrame:
     runs = pages.select(*key, "page").distinct().withColumn("__island", island).groupBy(*key, "__island").agg(F.min("page").alias("a"), F.max("page").alias("b"))
     text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
     return runs.withColumn("__run", text).groupBy(*key).agg(F.expr("listagg(__run, '_') WITHIN GROUP (ORDER BY a)").alias("label"))
+
+
+#: Ways of handling pages and what each gives; characters beyond Latin-1 that the standard fonts have.
+MODES = {"extractText": ("txt", "md", "html"), "render": ("png", "jpg"), "merge": ("pdf",), "split": ("pdf",), "rotate": ("pdf",)}
+STANDARD_FONT = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+
+
+def mode_of(sources: list[str], target: str, mode: str | None = "auto", pages: str | None = "", rotate: str | None = "0") -> str | None:
+    """How sources (endings) become the target; None where nothing does."""
+    if mode and mode != "auto":
+        if mode not in MODES:
+            raise CodedError("PDF_MODE_UNSUPPORTED", f"no such mode: {mode}")
+        if target not in MODES[mode]:
+            raise CodedError("PDF_MODE_TARGET_CONFLICT", f"{mode} gives {'/'.join(MODES[mode])}, not {target}")
+        return mode
+    if "pdf" not in (sources or []):
+        return "merge" if target == "pdf" else None
+    if target == "pdf":
+        return "split" if (pages or "").strip() else "rotate" if (rotate or "0") != "0" else "merge"
+    return next((m for m in ("extractText", "render") if target in MODES[m]), None)
+
+
+def modes(df: DataFrame, sources: str = "sources", target: str = "target", mode: str = "mode", pages: str = "pages", rotate: str = "rotate") -> DataFrame:
+    """df with resolved: the mode of each row's request, or its error."""
+    return map_rows(df, lambda *a: (mode_of(*a),), [sources, target, mode, pages, rotate], "resolved string")
+
+
+def to_markdown(text: str = "text", title: str | None = None):
+    """A Column: every line a paragraph, below the title where there is one."""
+    head = F.when(F.coalesce(F.col(title), F.lit("")) != "", F.concat(F.lit("# "), F.col(title), F.lit("\n\n"))).otherwise(F.lit("")) if title else F.lit("")
+    return F.concat(head, F.replace(F.col(text), F.lit("\n"), F.lit("\n\n")), F.lit("\n"))
+
+
+def standard_font_text(text: str = "text"):
+    """Columns (safe, n_dropped, needs_cjk): the text with a question mark for each character the standard fonts lack, how many
+    those are, and whether it has CJK characters, without whose fonts it should not be drawn at all."""
+    lacking = F.lit(f"[^\\n\\t\\x20-\\x7E\\x{{A0}}-\\x{{FF}}{STANDARD_FONT}]")
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.regexp_replace(t, lacking, F.lit("?")), F.regexp_count(t, lacking).cast("long"), t.rlike(CJK.pattern)
+
+
+def merged(*documents: DataFrame) -> DataFrame:
+    """The pages of several frames of pages (page and more), one after the other, numbered anew: source_pos, page, new_page."""
+    out = None
+    for i, d in enumerate(documents, 1):
+        part = d.withColumn("source_pos", F.lit(i))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return numbered(out, F.col("source_pos"), F.col("page"), name="new_page")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 import xml.parsers.expat as expat
 from xml.sax.saxutils import escape, quoteattr
 
@@ -42,7 +43,11 @@ def parse_json(text: str | None):
     try:
         return json.loads(text, parse_constant=refuse)
     except json.JSONDecodeError as e:
-        raise CodedError("DATA_JSON_INVALID", f"line {e.lineno} column {e.colno}: {e.msg}") from e
+        at = e.pos
+        if text[at : at + 1] == ",":  # after a comma too many, what cannot stand there is the next character
+            at += 1 + len(text[at + 1 :]) - len(text[at + 1 :].lstrip())
+        line = text.count("\n", 0, at) + 1
+        raise CodedError("DATA_JSON_INVALID", f"line {line} column {at - text.rfind(chr(10), 0, at)}: {e.msg}") from e
 
 
 def parse_jsonl(text: str | None) -> list:
@@ -59,10 +64,11 @@ def parse_jsonl(text: str | None) -> list:
     return out
 
 
+@lru_cache(1)
 def _yaml_loader():
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         """Core schema: only true and false are booleans, numbers are decimal, dates stay text."""
 
     Loader.yaml_implicit_resolvers = {
@@ -245,14 +251,21 @@ def to_jsonl(value) -> str:
     return "".join(json.dumps(v, ensure_ascii=False, separators=(",", ":")) + "\n" for v in (value if isinstance(value, list) else [value]))
 
 
-def to_yaml(value, indent: str = "2") -> str:
+@lru_cache(1)
+def _yaml_dumper():
     import yaml
 
-    class Dumper(yaml.SafeDumper):
+    class Dumper(getattr(yaml, "CSafeDumper", yaml.SafeDumper)):
         def ignore_aliases(self, data):
             return True
 
-    return yaml.dump(value, Dumper=Dumper, allow_unicode=True, width=float("inf"), sort_keys=False, indent=int(indent) if indent in ("2", "4") else 2, default_flow_style=indent == "0")
+    return Dumper
+
+
+def to_yaml(value, indent: str = "2") -> str:
+    import yaml
+
+    return yaml.dump(value, Dumper=_yaml_dumper(), allow_unicode=True, width=1 << 30, sort_keys=False, indent=int(indent) if indent in ("2", "4") else 2, default_flow_style=indent == "0")
 
 
 def xml_tag(name: str) -> str:

@@ -43,7 +43,12 @@ def _structured(files: DataFrame, target: str, options: dict) -> DataFrame:
     style = {"txt": options.get("txt_style", "tree")}.get(target, target)
 
     def run(text, ext):
-        value = [dict(zip(rows[0], r)) for rows in [delimited.grid_of(text)] for r in rows[1:]] if ext == "csv" else structured.PARSERS[ext](text)
+        if ext == "csv":
+            head, *rows = delimited.grid_of(text) or [[]]
+            names = grid.header_names(head, max(map(len, [head, *rows])))
+            value = [dict(zip(names, [*r, *[None] * (len(names) - len(r))])) for r in rows]
+        else:
+            value = structured.PARSERS[ext](text)
         value = structured.sort_keys(value) if options.get("sort_keys") else value
         more = {"indent": options["indent"]} if "indent" in options and style in ("json", "yaml", "xml") else {}
         return (structured.WRITERS[style](value, **more).encode(),)
@@ -65,29 +70,30 @@ def _image(files: DataFrame, target: str, options: dict) -> DataFrame:
 
 
 def _archive(files: DataFrame, target: str, options: dict) -> DataFrame:
-    if target in ("zip", "tar"):
-        return _outputs(archive.repackage(files, kind=target, hidden=options.get("include_hidden", False)).withColumnRenamed("packed", "output"))
     if target not in ("txt", "json"):
-        raise CodedError("ARCHIVE_UNSUPPORTED_FORMAT", f"cannot write {target}")
+        kind = "tgz" if target == "gz" and options.get("gz_of_many", False) else target
+        return _outputs(archive.repackage(files, kind=kind, hidden=options.get("include_hidden", False)).withColumnRenamed("packed", "output"))
     found = archive.entries(files.select("id", "name", "content"))
-    listed = archive.manifest(found, "id")
-    whole = F.col("listing") if target == "txt" else F.to_json(F.struct("n_entries", "total_size", "n_hidden", F.split("listing", "\n").alias("entries")))
-    return _outputs(listed.select("id", whole.alias("output"))).unionByName(_failed(found))
+    listed = archive.manifest(found, "id").withColumnRenamed("listing", "output") if target == "txt" else archive.manifest_json(found, "id").withColumnRenamed("manifest", "output")
+    return _outputs(listed.select("id", "output")).unionByName(_failed(found))
 
 
 def _table(files: DataFrame, target: str, options: dict) -> DataFrame:
     def rows(content, ext):
+        if ext == "xls":
+            raise CodedError("TABLE_UNSUPPORTED_FORMAT", "old binary workbooks are not read")
         if ext in ("xlsx", "ods"):
             sheets = workbook.sheets(content)
-            return [(n, r) for n, r in (sheets[:1] if options.get("sheet") == "first" or target not in ("xlsx",) else sheets)]
+            return [(n, r) for n, r in (sheets[:1] if options.get("sheet") == "first" or target not in ("xlsx", "ods") else sheets)]
         text = encoding.decode(content)
         if ext == "json":
             value = structured.to_rows(structured.parse_json(text))
             return [("Sheet1", [[None if c is None else structured.scalar_text(c) if c != "" else "" for c in r] for r in value])]
         return [("Sheet1", delimited.grid_of(text, "\t" if ext == "tsv" else options.get("delimiter", ",")))]
 
-    if target == "xlsx":
-        return _outputs(map_rows(files, lambda b, e: (workbook.write_xlsx(rows(b, e)),), ["content", "ext"], "output binary"))
+    if target in ("xlsx", "ods"):
+        writer = workbook.write_xlsx if target == "xlsx" else workbook.write_ods
+        return _outputs(map_rows(files, lambda b, e: (writer(rows(b, e)),), ["content", "ext"], "output binary"))
     from sheafline.plans.rows import explode_rows
 
     g = explode_rows(files, lambda b, e: [(i, [None if c is None else str(c) for c in r]) for i, r in enumerate(rows(b, e)[0][1], 1)], ["content", "ext"], "row_pos int, cells array<string>", ["id"])
@@ -123,23 +129,14 @@ def _subtitle(files: DataFrame, target: str, options: dict) -> DataFrame:
 
 
 def _chat(files: DataFrame, target: str, options: dict) -> DataFrame:
-    said = written(chat_exports.read(_text(files).select("id", "text")), "chats")
+    said = written(chat_exports.read(_text(files).select("id", "text"), max_conversations=options.get("max_conversations")), "chats")
     good = said.where("error_code is null").withColumns({"conv": F.col("conv_pos"), "msg": F.col("msg_pos")})
-    # a file's conversations are one after another, so a file is what is put together here
-    good = good.withColumn("msg", F.struct("conv_pos", "msg_pos")).withColumn("conv", F.col("id"))
     good = chat.keep_role(good, options.get("role_filter", "all"))
     good = good if options.get("include_system") else chat.drop_system(good)
     good = good if options.get("include_thinking", True) else chat.drop_thinking(good)
-    if target == "jsonl":
-        lines, sep, head = chat.jsonl_rows(good).withColumnRenamed("line", "block"), "\n", ""
-    elif target == "csv":
-        lines, sep, head = chat.csv_rows(good).withColumnRenamed("line", "block"), "\r\n", "会话,序号,角色,时间,内容\r\n"
-    else:
-        layout = "html" if target == "html" else options.get("layout", "chat")
-        lines, sep, head = chat.message_blocks(good, layout, target == "md", options.get("role_names", True), options.get("timestamps", True)), "\n\n", '<!DOCTYPE html>\n<meta charset="utf-8">\n' if target == "html" else ""
-    whole = chat.documents(lines.select("conv", "msg", "block"), sep.replace("\r", "\\r"))
-    end = "\r\n" if target == "csv" else "\n"
-    return _outputs(whole.select(F.col("conv").alias("id"), F.concat(F.lit(head), "body", F.lit(end)).alias("output"))).unionByName(_failed(said))
+    shown = {k: options[k] for k in ("layout", "titles", "role_names", "timestamps") if k in options}
+    made = chat.render(good, "id", target=target, **shown)
+    return _outputs(made.withColumnRenamed("body", "output")).unionByName(_failed(said))
 
 
 CONVERTERS: dict[str, Callable[[DataFrame, str, dict], DataFrame]] = {"chat-export": _chat, "table": _table, "archive": _archive, "document": _document, "image": _image, "subtitle": _subtitle, "data": _structured}
@@ -157,13 +154,15 @@ def convert(files: DataFrame, target: str, converter: str | None = None, **optio
 
     files: id, name, content.  A file whose kind no converter takes to the target has error_code NO_CONVERTER.
     """
-    known = written(detect.analyze(files.select("id", "name", "content")).select("id", "name", "content", "ext"), "analyzed")
+    # files are told apart by a number of their own, whatever their ids are
+    listed = files.select(F.monotonically_increasing_id().alias("__file"), F.col("id").alias("__id"), "name", "content")
+    known = written(detect.analyze(listed).select(F.col("__file").alias("id"), "__id", "name", "content", "ext"), "analyzed")
     order = [n for n, _, _, dst in sorted(registry.CONVERTERS, key=lambda c: -c[1]) if target in dst.split() and n in CONVERTERS]
     order = [converter, *(n for n in order if n != converter)] if converter in order else order
     pending, done, failed = known, None, None
     for name in order:
         sources = [s for _, _, src, dst in (c for c in registry.CONVERTERS if c[0] == name) for s in src.split() if name in registry.candidates(s, target, converter)]
-        mine = pending.where(F.col("ext").isin(sources))
+        mine = pending.where(F.col("ext").isin(sources)).drop("__id")
         made = written(CONVERTERS[name](mine, target, options).withColumn("converter", F.lit(name)), "converted")
         soft = F.coalesce(F.col("error_code").rlike("(" + "|".join(registry.SOFT) + ")$"), F.lit(False))
         kept, again = made.where(~soft), made.where(soft)
@@ -174,7 +173,7 @@ def convert(files: DataFrame, target: str, converter: str | None = None, **optio
     done, failed = done if done is not None else empty, failed if failed is not None else empty
     # files that every converter passed on keep their last failure
     last = failed.join(done.select("id"), "id", "left_anti").groupBy("id").agg(F.last("error_code").alias("error_code"), F.last("error_message").alias("error_message"), F.last("converter").alias("converter"))
-    rest = known.join(done.select("id"), "id", "left_anti").join(last, "id", "left")
+    rest = known.select("id", "ext").join(done.select("id"), "id", "left_anti").join(last, "id", "left")
     rest = rest.select("id", F.lit(None).cast("binary").alias("output"), F.coalesce("error_code", F.lit("NO_CONVERTER")).alias("error_code"), F.coalesce("error_message", F.concat(F.lit("nothing takes "), "ext", F.lit(f" to {target}"))).alias("error_message"), "converter")
-    named = known.select("id", F.concat(X.base_name("name"), F.lit(f".{target}")).alias("name"))
-    return done.unionByName(rest).join(named, "id").withColumn("target", F.lit(target)).select(*OUT.split(", "))
+    named = known.select("id", "__id", F.concat(X.base_name("name"), F.lit(f".{target}")).alias("name"))
+    return done.unionByName(rest).join(named, "id").drop("id").withColumnRenamed("__id", "id").withColumn("target", F.lit(target)).select(*OUT.split(", "))

@@ -4,34 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Name, priority, sources, targets.  Text and raster images are not offered to the PDF converter, which could
-#: not produce anything from them here.
+#: Name, priority, sources, targets.
 CONVERTERS = (
-    ("chat-export", 95, "json jsonl txt", "txt md html jsonl csv"),
-    ("pdf", 85, "pdf", "pdf txt md html"),
-    ("table", 80, "xlsx csv tsv ods json", "csv tsv xlsx json md html ods"),
-    ("archive", 75, "zip gz tar tgz", "zip gz tar txt json"),
+    ("chat-export", 95, "json jsonl", "txt md html jsonl csv"),
     ("document", 70, "docx txt md html rtf epub odt", "txt md html docx epub"),
-    ("image", 60, "png bmp ico pnm", "png bmp ico"),
-    ("subtitle", 55, "srt vtt ass", "srt vtt ass txt csv"),
-    ("media", 50, "mp3 wav ogg flac m4a aac opus mp4 webm mkv mov avi gif", "mp3 wav ogg flac m4a aac mp4 webm gif png jpg"),
+    ("table", 80, "xlsx xls csv tsv ods json", "csv tsv xlsx json md html ods"),
     ("data", 40, "json jsonl yaml xml ini csv", "json jsonl yaml txt xml ini"),
+    ("image", 90, "png jpg webp gif bmp ico avif heic svg tiff pnm", "png jpg webp bmp ico avif"),
+    ("pdf", 85, "pdf png jpg webp bmp txt md html svg", "pdf png jpg txt md html"),
+    ("archive", 60, "zip gz tar tgz", "zip gz tar txt json"),
+    ("subtitle", 75, "srt vtt ass", "srt vtt ass txt csv"),
+    ("media", 85, "mp3 wav ogg flac m4a aac opus mp4 webm mkv mov avi gif", "mp3 wav ogg flac m4a aac mp4 webm gif png jpg mp3cut"),
 )
-#: What a source is turned into unless told otherwise.
-DEFAULT_TARGETS = {
-    "json": "txt", "jsonl": "txt", "docx": "md", "txt": "docx", "md": "html", "html": "txt", "rtf": "txt", "epub": "txt", "odt": "txt", "xlsx": "csv", "csv": "xlsx", "tsv": "csv",
-    "ods": "csv", "yaml": "json", "xml": "json", "ini": "json", "png": "png", "bmp": "png", "ico": "png", "pnm": "png", "pdf": "txt", "zip": "txt", "gz": "zip", "tar": "zip", "tgz": "zip",
-    "srt": "vtt", "vtt": "srt", "ass": "srt", "mp4": "mp3", "webm": "mp4", "mkv": "mp4", "mov": "mp4", "avi": "mp4", "gif": "mp4",
+#: What a source is turned into unless told otherwise, as sources by target.
+DEFAULTS = {
+    "txt": "json jsonl rtf epub odt html pdf zip", "md": "docx", "docx": "txt", "html": "md", "csv": "xlsx xls ods tsv", "xlsx": "csv", "json": "yaml xml ini", "png": "png jpg tiff svg pnm bmp ico",
+    "jpg": "heic avif webp", "mp4": "gif mkv mov avi webm", "mp3": "mp3 m4a flac wav ogg opus aac mp4", "zip": "gz tar tgz", "vtt": "srt", "srt": "vtt ass",
+}
+DEFAULT_TARGETS = {s: t for t, sources in DEFAULTS.items() for s in sources.split()}
+#: Which converters may write the format they read: those whose own formats these are.
+OWN = {
+    "document": "txt md html rtf docx odt epub", "data": "txt md json jsonl yaml xml ini csv", "table": "csv tsv xlsx xls ods", "image": "png jpg webp avif bmp ico heic tiff svg gif",
+    "pdf": "pdf", "media": "mp3 wav ogg flac m4a aac opus mp4 webm mkv mov avi gif", "subtitle": "srt vtt ass", "archive": "zip gz tar tgz",
 }
-#: Converters that may write the format they read.
-SAME_ALLOWED = frozenset(("chat-export", "pdf", "table", "archive", "document", "image", "subtitle", "media", "data"))
 #: Failures after which the next converter is tried.
 SOFT = ("UNKNOWN", "NOT_APPLICABLE", "MISMATCH", "UNSUPPORTED_FORMAT")
 
 
 def candidates(source: str, target: str, forced: str | None = None) -> list[str]:
     """Converters for a pair, by falling priority; a forced one comes first if it can do it."""
-    found = [n for n, _, src, dst in sorted(CONVERTERS, key=lambda c: -c[1]) if source in src.split() and target in dst.split() and (source != target or n in SAME_ALLOWED)]
+    found = [n for n, _, src, dst in sorted(CONVERTERS, key=lambda c: -c[1]) if source in src.split() and target in dst.split() and (source != target or source in OWN.get(n, "").split())]
     return [forced, *(n for n in found if n != forced)] if forced in found else found
 
 
@@ -58,6 +60,9 @@ def matrix(spark: SparkSession) -> DataFrame:
     from pyspark.sql import functions as F
 
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "converter")))
-    rows = converters(spark).groupBy("source", "target").agg(F.array_join(F.transform(ordered, lambda c: c["converter"]), ">").alias("cascade"))
+    own = F.lit(False)
+    for name, formats in OWN.items():
+        own = own | ((F.col("converter") == name) & F.col("source").isin(formats.split()))
+    rows = converters(spark).where((F.col("source") != F.col("target")) | own).groupBy("source", "target").agg(F.array_join(F.transform(ordered, lambda c: c["converter"]), ">").alias("cascade"))
     defaults = spark.createDataFrame(sorted(DEFAULT_TARGETS.items()), "source string, default_target string")
     return rows.join(defaults, "source", "left")

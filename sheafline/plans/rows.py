@@ -21,6 +21,8 @@ class CodedError(ValueError):
         self.code = code
 
 
+#: Characters and bytes of results that are held before they are handed on.
+MOST_HELD = 32 << 20
 ERROR_FIELDS = [T.StructField("error_code", T.StringType()), T.StructField("error_message", T.StringType())]
 
 
@@ -56,22 +58,31 @@ def _mapped(df, fn, inputs, fields, keep, mode) -> DataFrame:
     names, n_keep, n_new = schema.names, len(keep), len(new) - 2
     src = df.select(*(F.col(_quoted(c)) for c in keep), *(F.col(_quoted(c)).alias(f"__in{i}") for i, c in enumerate(inputs)))
 
+    def batch(b: pa.RecordBatch, out: list, source: list) -> pa.RecordBatch:
+        kept = [b.column(k).take(pa.array(source, pa.int32())) for k in range(n_keep)]
+        return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, type=t) for c, t in zip(zip(*out), kinds))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
-                out, source = [], []
-                for i, args in enumerate(zip(*(b.column(n_keep + k).to_pylist() for k in range(len(inputs))))):
+                out, source, held = [], [], 0
+                for i in range(b.num_rows):
+                    args = [b.column(n_keep + k)[i].as_py() for k in range(len(inputs))]
                     try:
                         got = [(*r, None, None) for r in fn(*args)]
                     except Exception as e:  # every failure of a row is that row's result
                         if mode == "FAILFAST":
                             raise
                         got = [(*[None] * n_new, getattr(e, "code", "CONVERT_FAILED"), str(e))]
-                    out += got
-                    source += [i] * len(got)
+                    for r in got:
+                        out.append(r)
+                        source.append(i)
+                        held += sum(len(x) for x in r if isinstance(x, (str, bytes)))
+                        if held > MOST_HELD:  # rows go on before they fill the task's memory or a batch's limits
+                            yield batch(b, out, source)
+                            out, source, held = [], [], 0
                 if out:
-                    kept = [b.column(k).take(pa.array(source, pa.int32())) for k in range(n_keep)]
-                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, type=t) for c, t in zip(zip(*out), kinds))], names=names)
+                    yield batch(b, out, source)
 
     return src.mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,12 @@ from pyspark.sql.window import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder spark.checkpoint.dir names, or one of our own where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/sheafline-shared").rstrip("/")
+    """The folder spark.checkpoint.dir names; where that is unset, one of our own if the whole of Spark runs in this process,
+    and on a cluster an error: its machines' temporary folders are not one folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (base or f"file://{tempfile.gettempdir()}/sheafline-shared").rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -9,21 +9,25 @@ from __future__ import annotations
 import datetime
 import json
 import re
+from collections import deque
 
 from pyspark.sql import DataFrame
 
 from sheafline.functions.text import ROLES
 from sheafline.operators.structured import parse_json
-from sheafline.plans.rows import CodedError, explode_rows
+from sheafline.plans.rows import CodedError, explode_rows, map_rows
 
 FIELDS = "provider string, conv_pos int, title string, created_at timestamp, msg_pos int, role string, name string, time timestamp, kind string, text string"
 #: Keys under which services keep roles, texts, messages and wrapped lists.
 ROLE_KEYS = ("role", "sender", "author", "from", "speaker", "type")
 TEXT_KEYS = ("content", "text", "message", "body", "value", "parts")
-LIST_KEYS = ("messages", "chat_messages", "conversation", "turns", "items", "history", "dialog", "chats", "data", "records", "logs", "entries")
+LIST_KEYS = (
+    "messages", "message_list", "msgs", "conversation", "chat", "history", "chat_messages", "turns", "dialogue", "items", "list", "records", "dialog", "chats", "data", "logs", "entries",
+)
 WRAPPERS = ("data", "result", "conversations", "items", "list", "chats", "sessions", "records", "export", "payload", "response")
 TIME_KEYS = ("time", "timestamp", "created_at", "create_time", "createdAt", "date", "inserted_at")
-MOST_NODES, MOST_DEPTH = 20_000, 6
+#: Depth to which lists of messages are looked for, and values looked at before an export is given up as an error.
+MOST_DEPTH, MOST_NODES = 6, 1_000_000
 
 
 def role_of(value) -> str:
@@ -167,21 +171,20 @@ def _records(value) -> list[dict]:
 def read_mapping(value) -> list[dict]:
     items = [x for x in _records(value) if isinstance(x.get("mapping"), dict)]
     provider = "deepseek" if any("inserted_at" in x and "create_time" not in x for x in items) else "chatgpt"
-    return [_conv(provider, x, _tree_messages(x)) for x in items]
+    return _each(items, lambda x: _conv(provider, x, _tree_messages(x)))
 
 
 def read_claude(value) -> list[dict]:
-    out = []
-    for x in _records(value):
-        if isinstance(x.get("chat_messages"), list):
-            said = []
-            for m in x["chat_messages"]:
-                role, time = role_of(m.get("sender")), time_of(m.get("created_at"))
-                got = parts_of(role, m.get("content"), None, time) if isinstance(m.get("content"), list) and m["content"] else []
-                said += got or parts_of(role, m.get("text") or "", None, time)
-                said += [{"role": role, "name": None, "time": time, "kind": "text", "text": f"[附件] {a.get('file_name', '')}".strip()} for a in m.get("attachments") or [] if isinstance(a, dict)]
-            out.append(_conv("claude", x, said))
-    return out
+    def build(x):
+        said = []
+        for m in x["chat_messages"]:
+            role, time = role_of(m.get("sender")), time_of(m.get("created_at"))
+            got = parts_of(role, m.get("content"), None, time) if isinstance(m.get("content"), list) and m["content"] else []
+            said += got or parts_of(role, m.get("text") or "", None, time)
+            said += [{"role": role, "name": None, "time": time, "kind": "text", "text": f"[附件] {a.get('file_name', '')}".strip()} for a in m.get("attachments") or [] if isinstance(a, dict)]
+        return _conv("claude", x, said)
+
+    return _each([x for x in _records(value) if isinstance(x.get("chat_messages"), list)], build)
 
 
 def read_gemini(value) -> list[dict]:
@@ -193,18 +196,40 @@ def read_gemini(value) -> list[dict]:
     ]
 
 
+def _nodes(value, deepest: int | None = None, whole=lambda x: False):
+    """Lists and objects in a value, breadth first, but for what is in those that are `whole`; more than MOST_NODES values
+    are an error."""
+    waiting, seen = deque([(value, 0)]), 0
+    while waiting:
+        at, depth = waiting.popleft()
+        yield at
+        if whole(at) or depth == deepest or not isinstance(at, (dict, list)):
+            continue
+        inner = list(at.values()) if isinstance(at, dict) else at
+        seen += len(inner)
+        if seen > MOST_NODES:
+            raise CodedError("CHAT_TOO_LARGE", f"more than {MOST_NODES} values would have to be looked at")
+        waiting.extend((x, depth + 1) for x in inner if isinstance(x, (dict, list)))
+
+
+def _each(items: list, build) -> list[dict]:
+    """What is built of each item; an item that cannot be read is counted and does no harm to the others."""
+    out = []
+    for x in items:
+        try:
+            out.append(build(x))
+        except (TypeError, ValueError, KeyError, AttributeError, IndexError, RecursionError):
+            out.append({"skipped": True, "messages": []})
+    return out
+
+
 def read_sections(value) -> list[dict]:
     """Conversations grouped in sections, found breadth first."""
-    waiting, seen = [value], 0
-    while waiting and seen < MOST_NODES:
-        at, seen = waiting.pop(0), seen + 1
+    for at in _nodes(value):
         if isinstance(at, dict):
             if isinstance(at.get("sections"), list):
                 inner = [c for s in _records(at["sections"]) for k in ("conversations", "items", "chats", "list", "sessions") for c in _records(s.get(k) or [])]
-                return [_conv("sections", c, generic_messages(c)) for c in inner]
-            waiting += list(at.values())
-        elif isinstance(at, list):
-            waiting += at
+                return _each(inner, lambda c: _conv("sections", c, generic_messages(c)))
     return []
 
 
@@ -239,50 +264,60 @@ def read_generic(value) -> list[dict]:
     if isinstance(value, dict):
         said = generic_messages(value)
         return [_conv("generic", value, said)] if said else []
-    return [_conv("generic", x, said) for x in _records(value) if (said := generic_messages(x))]
+    return _each(_records(value), lambda x: _conv("generic", x, generic_messages(x)))
 
 
 def read_discovered(value) -> list[dict]:
     """Lists of messages anywhere in the value, breadth first."""
-    waiting, seen, out = [(value, 0)], 0, []
-    while waiting and seen < MOST_NODES:
-        (at, depth), seen = waiting.pop(0), seen + 1
-        if is_message_list(at):
-            out.append(_conv("discovered", {}, generic_messages(at)))
-        elif depth < MOST_DEPTH and isinstance(at, (dict, list)):
-            waiting += [(x, depth + 1) for x in (at.values() if isinstance(at, dict) else at)]
-    return out
+    return _each([x for x in _nodes(value, MOST_DEPTH, is_message_list) if is_message_list(x)], lambda x: _conv("discovered", {}, generic_messages(x)))
 
 
 READERS = (read_mapping, read_claude, read_gemini, read_sections, read_generic)
+DAY, CLOCK = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", r"\d{1,2}:\d{2}(?::\d{2})?"
+#: Lines that begin a message of a text log: a day and time, a time, either with a name before or after it.
 HEADERS = (
-    re.compile(r"^(?P<date>\d{4}[-/年]\d{1,2}[-/月]\d{1,2})日?\s+(?P<time>\d{1,2}:\d{2}(?::\d{2})?)\s+(?P<name>\S.{0,60}?)\s*$"),
-    re.compile(r"^(?P<name>\S.{0,60}?)\s+(?P<date>\d{4}[-/年]\d{1,2}[-/月]\d{1,2})日?\s+(?P<time>\d{1,2}:\d{2}(?::\d{2})?)\s*$"),
-    re.compile(r"^(?P<name>\S.{0,60}?)\s+(?P<time>\d{1,2}:\d{2}(?::\d{2})?)\s*$"),
+    re.compile(rf"(?P<day>{DAY})\s+(?P<clock>{CLOCK})"),
+    re.compile(rf"(?P<clock>{CLOCK})"),
+    re.compile(rf"(?P<day>{DAY})\s+(?P<clock>{CLOCK})\s+(?P<name>\S.{{0,39}})"),
+    re.compile(rf"(?P<name>\S.{{0,39}}?)\s+(?P<day>{DAY})\s+(?P<clock>{CLOCK})"),
+    re.compile(rf"(?P<name>[^\d。！？，,.!?][^。！？，,.!?]{{0,39}}?)(?:[（(][^）)]{{1,40}}[）)])?\s+(?P<clock>{CLOCK})"),
 )
+NUMBER_OF_NAME = re.compile(r"[（(][^）)]*[）)]\s*$")
+LONGEST_HEADER, LEAST_HEADERS = 120, 3
+
+
+def _header(line: str) -> dict | None:
+    line = line.strip()
+    found = None if len(line) > LONGEST_HEADER else next((m for h in HEADERS if (m := h.fullmatch(line))), None)
+    return found.groupdict() if found else None
 
 
 def read_messenger(text: str) -> list[dict]:
-    """Text logs whose messages start with a line of name and time; times without a date take the last one."""
+    """Text logs whose messages begin with a line of a time and mostly a name; times without a day take the last one.
+
+    Messages with a name are the user's.  Fewer than LEAST_HEADERS such lines make no log."""
     said, day, heads = [], None, 0
     for line in text.splitlines():
-        m = next((m for h in HEADERS if (m := h.match(line))), None)
-        if m:
+        if found := _header(line):
             heads += 1
-            found = m.groupdict()
-            day = re.sub(r"[/年月]", "-", found["date"]) if found.get("date") else day
-            time = None
-            if day:
-                y, mo, d = map(int, day.split("-"))
-                time = datetime.datetime(y, mo, d, *map(int, found["time"].split(":")))
-            said.append({"role": role_of(found["name"]) if found["name"].strip() in ROLES else "user", "name": found["name"].strip(), "time": time, "kind": "text", "text": ""})
+            said.append({**found, "lines": []})
         elif said:
-            said[-1]["text"] += ("\n" if said[-1]["text"] else "") + line
-    if heads < 3:
-        return []
-    for m in said:
-        m["text"] = m["text"].strip()
-    return [_conv("messenger", {}, said)]
+            said[-1]["lines"].append(line)
+    out = []
+    for m in said if heads >= LEAST_HEADERS else []:
+        body = "\n".join(m["lines"]).strip()
+        if not body:
+            continue
+        name = NUMBER_OF_NAME.sub("", m.get("name") or "").strip()
+        day = m.get("day") or day
+        time = None
+        if day:
+            try:
+                time = datetime.datetime(*map(int, re.split(r"[-/.]", day)), *map(int, m["clock"].split(":")))
+            except ValueError:
+                time = None
+        out.append({"role": "user" if name else "assistant", "name": name or None, "time": time, "kind": "text", "text": body})
+    return [_conv("messenger", {"title": "聊天记录"}, out)] if out else []
 
 
 def conversations_of(text: str | None) -> list[dict]:
@@ -303,6 +338,8 @@ def conversations_of(text: str | None) -> list[dict]:
             found = read_messenger(text)
     else:
         found = _read(value)
+    skipped = sum("skipped" in c for c in found)
+    found = [c | {"n_skipped": skipped} for c in found if c["messages"]]
     if not found:
         raise CodedError("CHAT_FORMAT_UNKNOWN", "no conversation was found")
     return sorted(found, key=lambda c: (c["created_at"] is None, c["created_at"] or datetime.datetime.min))
@@ -314,15 +351,34 @@ def _read(value) -> list[dict]:
         tried += [v[k] for v in list(tried) if isinstance(v, dict) for k in WRAPPERS if isinstance(v.get(k), (dict, list)) and not any(v[k] is t for t in tried)]
     for reader in READERS:
         for v in tried:
-            if got := [c for c in reader(v) if c["messages"]]:
-                return got
+            got = reader(v)
+            if any(c["messages"] for c in got):
+                return [c for c in got if c["messages"] or "skipped" in c]
     return read_discovered(value)
 
 
-def read(df: DataFrame, text: str = "text", mode: str = "PERMISSIVE") -> DataFrame:
-    """One row for each message of each export; an export in which nothing is found has one row with its error."""
+def read(df: DataFrame, text: str = "text", mode: str = "PERMISSIVE", max_conversations: int | None = None) -> DataFrame:
+    """One row for each message of each export; an export in which nothing is found has one row with its error.
+
+    n_skipped counts the export's conversations that could not be read; max_conversations keeps the first so many of each.
+    """
 
     def run(t):
-        return [(c["provider"], i, c["title"], c["created_at"], j, m["role"], m["name"], m["time"], m["kind"], m["text"]) for i, c in enumerate(conversations_of(t), 1) for j, m in enumerate(c["messages"], 1)]
+        got = conversations_of(t)
+        return [(c["provider"], i, c["title"], c["created_at"], j, m["role"], m["name"], m["time"], m["kind"], m["text"], c["n_skipped"]) for i, c in enumerate(got[:max_conversations], 1) for j, m in enumerate(c["messages"], 1)]
+
+    return explode_rows(df, run, [text], f"{FIELDS}, n_skipped int", [c for c in df.columns if c != text], mode)
+
+
+def probe(df: DataFrame, text: str = "text", ext: str = "ext") -> DataFrame:
+    """df with is_chat: whether a json or jsonl text is a chat export; other files are not asked."""
+
+    def run(t, e):
+        if e not in ("json", "jsonl"):
+            return (False,)
+        try:
+            return (bool(conversations_of(t)),)
+        except CodedError:
+            return (False,)
 
-    return explode_rows(df, run, [text], FIELDS, [c for c in df.columns if c != text], mode)
+    return map_rows(df, run, [text, ext], "is_chat boolean").drop("error_code", "error_message")

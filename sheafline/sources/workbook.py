@@ -181,6 +181,39 @@ def write_xlsx(tables: list[tuple[str | None, list[list[str | None]]]]) -> bytes
     return out.getvalue()
 
 
+#: Names of the parts of an OpenDocument file.
+ODF = "urn:oasis:names:tc:opendocument:xmlns:"
+ODS_TYPE = "application/vnd.oasis.opendocument.spreadsheet"
+
+
+def write_ods(tables: list[tuple[str | None, list[list[str | None]]]]) -> bytes:
+    """An OpenDocument workbook of sheets; cells that read as numbers or booleans are such."""
+    names = sheet_names([n for n, _ in tables])
+
+    def cell(c) -> str:
+        v = scalar(c) if isinstance(c, str) else c
+        if v is None and c in (None, ""):
+            return "<table:table-cell/>"
+        if isinstance(v, bool):
+            return f'<table:table-cell office:value-type="boolean" office:boolean-value="{str(v).lower()}"><text:p>{str(v).upper()}</text:p></table:table-cell>'
+        if isinstance(v, (int, float)):
+            return f'<table:table-cell office:value-type="float" office:value="{scalar_text(v)}"><text:p>{scalar_text(v)}</text:p></table:table-cell>'
+        lines = escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", c)).split("\n")
+        return f'<table:table-cell office:value-type="string">{"".join(f"<text:p>{x}</text:p>" for x in lines)}</table:table-cell>'
+
+    sheets_xml = "".join(
+        f'<table:table table:name="{escape(n, {chr(34): "&quot;"})}">{"".join(f"<table:table-row>{"".join(map(cell, r)) or "<table:table-cell/>"}</table:table-row>" for r in rows)}</table:table>' for n, (_, rows) in zip(names, tables)
+    )
+    spaces = " ".join(f'xmlns:{n}="{ODF}{n}:1.0"' for n in ("office", "table", "text"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(zipfile.ZipInfo("mimetype", (1980, 1, 1, 0, 0, 0)), ODS_TYPE)  # first, and not compressed
+        z.writestr("content.xml", f'<?xml version="1.0" encoding="UTF-8"?>\n<office:document-content {spaces} office:version="1.2"><office:body><office:spreadsheet>{sheets_xml}</office:spreadsheet></office:body></office:document-content>')
+        entry = lambda path, kind: f'<manifest:file-entry manifest:full-path="{path}" manifest:media-type="{kind}"/>'
+        z.writestr("META-INF/manifest.xml", f'<?xml version="1.0" encoding="UTF-8"?>\n<manifest:manifest xmlns:manifest="{ODF}manifest:1.0" manifest:version="1.2">{entry("/", ODS_TYPE)}{entry("content.xml", "text/xml")}</manifest:manifest>')
+    return out.getvalue()
+
+
 def write(grids: DataFrame, *key: str, most_rows: int = 1_048_576) -> DataFrame:
     """key, workbook: a workbook for each key from its sheets' rows.  A sheet takes `most_rows` rows, as the format does; a key
     with a longer sheet has an error instead."""

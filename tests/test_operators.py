@@ -321,7 +321,7 @@ def test_documents():
     assert title == "标题" and [t for t, _ in parts] == ["标题"]
     rtf = b"{\\rtf1\\ansi\\ansicpg936{\\fonttbl{\\f0 x;}}\\'c4\\'e3\\'ba\\'c3\\par \\u20320?x}"
     assert document.rtf_to_text(rtf) == "你好\n\n你x\n"
-    assert document.restyle_headings("# a\n## b\n## c\n# d", "number") == "# 1. a\n## 1.1. b\n## 1.2. c\n# 2. d"
+    assert document.restyle_headings("# a\n## b\n## c\n# d", "number") == "一、a\n（一）b\n（二）c\n二、d"
     assert document.plain_text("> q\n\n1. x") == "> q\n- x\n"
     assert code(document.to_markdown, b"x", "docx") == "DOCUMENT_DOCX_INVALID"
 
@@ -358,8 +358,8 @@ def test_lines_of_items(spark):
 
 
 def test_media():
-    assert media.command("extractAudio", "a.mp4", "b.mp3", {"bitrate": "128k"}) == ["-y", "-i", "a.mp4", "-vn", "-c:a", "libmp3lame", "-b:a", "128k", "b.mp3"]
-    assert code(media.command, "trim", "a.mp4", "b.mp4", {"start": "9", "end": "1"}) == "MEDIA_BAD_TIME"
+    assert media.command("extractAudio", "a.mp4", "b.mp3", {"audioBitrate": "128k"}) == ["-y", "-i", "a.mp4", "-vn", "-c:a", "libmp3lame", "-b:a", "128k", "b.mp3"]
+    assert code(media.command, "trim", "a.mp4", "b.mp4", {"trimStart": "9", "trimEnd": "1"}) == "MEDIA_BAD_TRIM"
     assert code(media.command, "spin", "a", "b") == "MEDIA_BAD_ACTION"
 
 
