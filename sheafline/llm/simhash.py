@@ -171,7 +171,7 @@ def simhash_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 COPY_WIDTH, NEAR_SHARE = 5, (4, 5)
 BANDS, ROWS = 20, 5
 #: Hashes of the sets of a group that one task holds; of larger groups each pair of blocks goes to a task.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 _FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
 
@@ -260,9 +260,9 @@ def near_copy_components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of nodes (id, bands) that have a near copy, by their whole texts in docs (doc_id, __text).
 
     The components are those of all pairs that meet in a band and are near copies, but pairs are not made rows of.  First
-    each node is compared with one other, the least id that it meets.  Of a group, the nodes that meet in one band, in which
-    components are then still apart, the sets come to one task, or to one for each pair of blocks where they are more than
-    BLOCK hashes; there every pair across components is compared, and links that join components are all that leaves.
+    each node is compared with one other, the least id that it meets.  Of a group, the nodes that meet the same least id, in
+    which components are then still apart, the sets come to one task, or to one for each pair of blocks where they are more
+    than BLOCK hashes; there every pair across components is compared, and links that join components are all that leaves.
     """
     keys = nodes.select("id", F.explode("bands").alias("key"))
     groups = written(keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "copy-groups")
@@ -274,7 +274,8 @@ def near_copy_components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     first = met.groupBy("id").agg(F.min("least").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
     links = written(_near_copies(first, sets), "copy-links")
     at = written(connected_components(links), "copy-components")
-    placed = met.drop("least").join(at.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # groups with the same least id are looked at together: most nodes are in many groups, but of few such ids
+    placed = met.select(F.col("least").alias("key"), "id").distinct().join(at.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     live = written(placed.join(written(apart, "copy-apart"), "key").join(sets.select("id", F.size("members").alias("n")), "id"), "copy-live")
     blocks = written(live.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "copy-blocks")
