@@ -319,7 +319,7 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs(spark, ["a", "b"], ids=[None, 1])).count() == 2
 
 
-@pytest.mark.parametrize("block", [4_000_000, 6000])
+@pytest.mark.parametrize("block", [1_000_000, 6000])
 def test_large_groups_are_met_without_all_pairs(spark, monkeypatch, block):
     """A star of near copies, a chain whose ends share little, and texts that meet the others without being copies."""
     r = random.Random(17)
