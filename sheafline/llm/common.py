@@ -208,6 +208,26 @@ def ranges(df: DataFrame, key: list[str], tie: list[str], before: bool = False,
     return out.repartitionById(parts, F.col("__part")).sortWithinPartitions("__part", "__guest", *whole)
 
 
+#: Bits of a filter that tasks get of a set of ids: FILTER_BITS for each id, MOST_FILTER_BITS (64 MB) at most.
+FILTER_BITS, MOST_FILTER_BITS, BITMAP = 16, 1 << 29, 32768
+
+
+def may_be_in(df: DataFrame, key: str, ids: DataFrame, name: str = "__may") -> DataFrame:
+    """df with a boolean: false where the key is surely not one of ids (one column), so that such rows need not be shuffled to
+    find that out.  The filter is one hash in a row of bitmaps, of bounded size; where ids are too many for it, more rows are
+    true, at last all.  A null key is false.
+    """
+    (column,) = ids.columns
+    buckets = max(1, min(MOST_FILTER_BITS, FILTER_BITS * ids.count()) // BITMAP)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets * BITMAP))
+    set_bits = ids.select(place(F.col(column)).alias("at")).groupBy(F.expr(f"cast(at div {BITMAP} as int)").alias("__bucket")).agg(F.bitmap_construct_agg(F.expr(f"at % {BITMAP}")).alias("__bits"))
+    bits = F.broadcast(written(set_bits, "filter"))  # at most MOST_FILTER_BITS
+    got = df.withColumn("__at", place(F.col(_q(key)))).withColumn("__bucket", F.expr(f"cast(__at div {BITMAP} as int)")).join(bits, "__bucket", "left")
+    byte = F.expr(f"cast(conv(hex(substring(__bits, cast((__at % {BITMAP}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(F.expr("cast(__at % 8 as int)").isNotNull() & (F.call_function("getbit", byte, F.expr("cast(__at % 8 as int)")) == 1), F.lit(False))
+    return got.withColumn(name, hit & F.col(_q(key)).isNotNull()).select(*(F.col(_q(c)) for c in df.columns), name)
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafline.llm.common import ASCII_LOWER, WORD_RE, discard, map_rows, prepare, written
+from sheafline.llm.common import ASCII_LOWER, WORD_RE, discard, map_rows, may_be_in, prepare, written
 from sheafline.llm.graph import connected_components
 
 SEED = 42
@@ -267,9 +267,10 @@ def near_copy_components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     keys = nodes.select("id", F.explode("bands").alias("key"))
     groups = written(keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "copy-groups")
     met = written(keys.join(groups, "key"), "copy-met")
-    named = met.select("id").distinct()
+    named = written(met.select("id").distinct(), "copy-named")
     members = T.StructField("members", T.ArrayType(T.LongType(), False), False)
-    texts = docs.join(named, docs.doc_id == named.id, "left_semi")
+    texts = may_be_in(docs, "doc_id", named).where("__may").drop("__may")
+    texts = texts.join(named, texts.doc_id == named.id, "left_semi")
     sets = written(map_rows(texts, lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], ["__text"], [members], keep=["doc_id"]).toDF("id", "members"), "copy-sets")
     first = met.groupBy("id").agg(F.min("least").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
     links = written(_near_copies(first, sets), "copy-links")
@@ -317,4 +318,7 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     word, are copies of each other.  All columns pass through, whatever their names.
     """
     gone = near_copy_classes(df, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return df.join(written(gone, "copies"), doc_id, "left_anti").select(*(f"`{c}`" for c in df.columns))
+    gone = written(gone, "copies")
+    marked = may_be_in(df, doc_id, gone)  # most documents stay where they are; only what may have to go is looked up
+    left = marked.where("__may").join(gone, doc_id, "left_anti").unionByName(marked.where("not __may"))
+    return left.select(*("`" + c.replace("`", "``") + "`" for c in df.columns))
