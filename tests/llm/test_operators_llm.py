@@ -87,6 +87,18 @@ def test_ranges_show_each_row_its_neighbours(spark, seed, n):
         assert seen == want
 
 
+@pytest.mark.parametrize("bits", [1 << 29, 1 << 15])
+def test_filter_passes_all_that_are_in(spark, bits, monkeypatch):
+    monkeypatch.setattr(common, "MOST_FILTER_BITS", bits)
+    df = spark.range(0, 200_000).selectExpr("id", "id AS __x").union(spark.createDataFrame([(None, 1)], "id long, __x long"))
+    ids = spark.range(0, 200_000, 40).selectExpr("id AS one")
+    got = common.may_be_in(df, "id", ids)
+    assert got.columns == ["id", "__x", "__may"] and got.count() == 200_001
+    assert got.where("id % 40 = 0 and not __may").count() == 0 and got.where("id is null and __may").count() == 0
+    assert got.where("id % 40 > 0 and __may").count() < (0.1 if bits > 1 << 20 else 0.25) * 195_000
+    assert common.may_be_in(df, "id", ids.where("false")).where("__may").count() == 0
+
+
 def test_limits_hold_at_any_count():
     for n in (10**3, 10**7, 10**10, 10**13):
         limit = linear.hash_limit(2000, n)
