@@ -96,9 +96,9 @@ class Model:
         if not self.langs:
             return lang, score, unsure
         at = 0
-        while at < len(texts):  # a few million characters at a time
+        while at < len(texts):  # a million characters at a time
             to, size = at + 1, len(texts[at])
-            while to < len(texts) and to - at < 128 and size + len(texts[to]) < 2_000_000:
+            while to < len(texts) and to - at < 128 and size + len(texts[to]) < 1_000_000:
                 size += len(texts[to])
                 to += 1
             loss = self.losses(texts[at:to])
