@@ -114,7 +114,7 @@ def test_encoding_losses_are_counted():
     assert code(encoding.encode, "a", "klingon") == "ENCODING_UNKNOWN"
 
 
-@pytest.mark.parametrize("label,text", [("gbk", "我们的时间在这里，他们说的是一个大问题"), ("shift_jis", "これはとても大きな問題であると思います"), ("utf-16le", "plain letters only")])
+@pytest.mark.parametrize("label,text", [("gb18030", "我们的时间在这里，他们说的是一个大问题"), ("shift_jis", "これはとても大きな問題であると思います"), ("utf-16le", "plain letters only")])
 def test_detection_of_encodings(label, text):
     data = text.encode(encoding.CODECS[label])
     assert encoding.detect(data)[0] == label
