@@ -409,11 +409,11 @@ def structured_errors(spark: SparkSession) -> DataFrame:
     return got.select("kind", "error_code", F.regexp_extract("error_message", "^line \\d+", 0).alias("place"))
 
 
-VALUE = '{"名":"棱镜","n":1,"ok":true,"none":null,"list":[1,"二"],"in":{"a":"x"}}'
+VALUE = '{"名":"样例","n":1,"ok":true,"none":null,"list":[1,"二"],"in":{"a":"x"}}'
 
 
 @case("kind VARCHAR, text VARCHAR", [
-    ("jsonl", VALUE + "\n"), ("yaml", "名: 棱镜\nn: 1\nok: true\nnone: null\nlist:\n- 1\n- 二\nin:\n  a: x\n"), ("kv", "名      = 棱镜\nn       = 1\nok      = true\nnone    = null\nlist[0] = 1\nlist[1] = 二\nin.a    = x\n"),
+    ("jsonl", VALUE + "\n"), ("yaml", "名: 样例\nn: 1\nok: true\nnone: null\nlist:\n- 1\n- 二\nin:\n  a: x\n"), ("kv", "名      = 样例\nn       = 1\nok      = true\nnone    = null\nlist[0] = 1\nlist[1] = 二\nin.a    = x\n"),
 ])
 def structured_written(spark: SparkSession) -> DataFrame:
     df = rows_of(spark, "kind string, json string", [(k, VALUE) for k in ("jsonl", "yaml", "kv")])
