@@ -9,6 +9,9 @@ average).  The table entries and lookups of a segment word meet in one partition
 What meets under a word is a set of *distinct* fingerprints with 32 equal bits, as 8-byte integers.  Of these only a
 spanning forest of the links leaves the task, never all pairs: from a fingerprint everything within the distance is taken
 out of the set, then the search goes on from what was taken out.
+
+The pipeline's near copies are found the same way, from fingerprints of 192 bits over five-word shingles in 16 segments, and
+are then held against the exact share of their shingles (near_copy_classes).
 """
 
 from __future__ import annotations
@@ -61,6 +64,12 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 3, seed: int =
     return map_rows(df, run, [text], [T.StructField(name, T.LongType(), False)])
 
 
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word, or of several in the last of two axes."""
+    count = np.bitwise_count(x ^ y)
+    return count if count.ndim == 1 else count.sum(-1, dtype=np.int64)
+
+
 def _forest(ids: np.ndarray, fps: np.ndarray, bits: int) -> tuple[list, list]:
     """Links that connect what pairs within the distance connect, one fewer than members for each class."""
     a, b = [], []
@@ -69,7 +78,7 @@ def _forest(ids: np.ndarray, fps: np.ndarray, bits: int) -> tuple[list, list]:
         ids, fps = ids[1:], fps[1:]
         while queue and len(ids):
             i, f = queue.pop()
-            near = np.bitwise_count(fps ^ f) <= bits
+            near = _differ(fps, f) <= bits
             if near.any():
                 found, far = np.flatnonzero(near), ~near
                 a += [int(i)] * len(found)
@@ -166,14 +175,21 @@ def simhash_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 
 
 #: For keeping one of each group of near copies.  Two texts are near copies if they share NEAR_SHARE (a fraction) of their
-#: different five-word shingles.  Candidates agree in one of BANDS bands of ROWS minima each: of pairs that share just 0.8,
-#: 1 - (1 - 0.8**5)**20 = 0.9996 do, wherever the edits are.
+#: different five-word shingles.  Candidates are fingerprints of COPY_WORDS x 64 bits that differ in COPY_BITS at most, found by
+#: COPY_SEGMENTS tables of SEGMENT bits with balls of radius one: of pairs that share just 0.8, about 29 bits differ.
 COPY_WIDTH, NEAR_SHARE = 5, (4, 5)
-BANDS, ROWS = 20, 5
+COPY_WORDS, COPY_BITS, SEGMENT = 3, 48, 12
+COPY_SEGMENTS = 64 * COPY_WORDS // SEGMENT
+#: Sets of fewer shingles have no near copy but equal sets.
+LEAST_SHARED = -(-NEAR_SHARE[0] // (NEAR_SHARE[1] - NEAR_SHARE[0]))
+#: Entries of a segment's word that one task holds; of words with more each pair of blocks goes to a task.
+COPY_HOT = 1 << 20
+#: Fingerprints whose entries are dealt out at once, entries from which on large groups are looked for first, and pairs compared at once.
+COPY_CHUNK, COPY_GROUP, COPY_PAIRS = 8192, 4096, 1 << 21
 #: Hashes of the sets of a group that one task holds; of larger groups each pair of blocks goes to a task.
 BLOCK = 1_000_000
-_FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
-_FACTORS |= np.uint64(1)
+_SEEDS = np.random.default_rng(SEED).integers(0, 2**64, (COPY_WORDS, 1), dtype=np.uint64)
+_SHIFTS, _ONES = np.arange(8, dtype=np.uint64)[:, None], np.uint64(0x0101010101010101)
 
 
 def shingle_set(text: str | None, width: int = COPY_WIDTH, seed: int = SEED) -> np.ndarray:
@@ -181,12 +197,172 @@ def shingle_set(text: str | None, width: int = COPY_WIDTH, seed: int = SEED) ->
     return np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in shingles(text, width)], dtype=np.uint64))
 
 
-def bands(members: np.ndarray) -> np.ndarray:
-    """A signed long for each band: the hash of its number and of the set's minima under ROWS permutations."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
-    for at in range(0, len(members), 2048):
-        np.minimum(least, (members[at : at + 2048] * _FACTORS + _ADDENDS).min(1), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+def _mixed(members: np.ndarray) -> np.ndarray:
+    """COPY_WORDS further hashes of each hash (the finaliser of SplitMix64), by row."""
+    x = members + _SEEDS
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def copy_fingerprint(members: np.ndarray) -> np.ndarray:
+    """SimHash of a set of hashes, COPY_WORDS unsigned longs: a bit is set if it is in more than half of the hashes."""
+    count = np.zeros((COPY_WORDS, 8, 8), dtype=np.int64)
+    for at in range(0, len(members), 16 * 255):
+        x = _mixed(members[at : at + 16 * 255])
+        # bits i, i + 8 and so on of a word are counted in its bytes, 255 times at most
+        sums = np.add.reduceat((x[:, None] >> _SHIFTS) & _ONES, np.arange(0, x.shape[1], 255), axis=2)
+        count += sums.astype("<u8").view(np.uint8).reshape(COPY_WORDS, 8, -1, 8).sum(2, dtype=np.int64)
+    more = 2 * count.transpose(0, 2, 1).reshape(COPY_WORDS, 64) > len(members)
+    return np.packbits(more, axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
+def _segments(fps: np.ndarray) -> np.ndarray:
+    """The words of each fingerprint's segments, as integers."""
+    bits = np.unpackbits(np.ascontiguousarray(fps, dtype="<u8").view(np.uint8), axis=1, bitorder="little")
+    return bits.reshape(len(fps), COPY_SEGMENTS, SEGMENT).astype(np.int32) @ (1 << np.arange(SEGMENT, dtype=np.int32))
+
+
+def _entries(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the entries of fingerprints in the tables: each segment's word, and the word with each zero bit raised; a
+    key is a word with the segment's number above it."""
+    word = _segments(fps)[:, :, None]
+    ball = word | np.concatenate(([0], 1 << np.arange(SEGMENT))).astype(np.int32)
+    here = ball != word
+    here[:, :, 0] = True
+    key = ball + (np.arange(COPY_SEGMENTS, dtype=np.int32) << SEGMENT)[:, None]
+    return key[here], np.nonzero(here)[0]
+
+
+def _met(key: int, ids: np.ndarray, fps: np.ndarray) -> tuple[list, list]:
+    """Links that connect what pairs of entries of a key within COPY_BITS connect, where one at least has the very word.
+
+    Of many entries, groups within the distance of some entry are joined first, and their pairs are not looked at."""
+    own = _segments(fps)[:, key >> SEGMENT] == key & ((1 << SEGMENT) - 1)
+    group = np.zeros(len(ids), dtype=np.int64)
+    a, b = [], []
+    if len(ids) > COPY_GROUP:
+        for c in np.linspace(0, len(ids) - 1, 8).astype(int):
+            near = (group == 0) & (_differ(fps, fps[c]) <= COPY_BITS)
+            if not group[c] and 16 * near.sum() >= len(ids):
+                group[near] = c + 1
+                a += [int(ids[c])] * int(near.sum())
+                b += ids[near].tolist()
+    some = np.zeros(len(ids), dtype=bool)
+    for g in np.unique(group[own]):
+        mine, other = np.flatnonzero(own & (group == g)), np.flatnonzero((group != g) | (g == 0))
+        step = max(1, COPY_PAIRS // max(1, len(other)))
+        for at in range(0, len(mine), step):
+            x, y = fps[mine[at : at + step]], fps[other]
+            count = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+            for w in range(1, COPY_WORDS - 1):
+                count += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
+            i, j = np.nonzero(count <= COPY_BITS)
+            i, j = mine[at + i], other[j]
+            apart = ids[i] != ids[j]
+            i, j = i[apart], j[apart]
+            near = _differ(fps[i], fps[j]) <= COPY_BITS
+            some[i[near]] = some[j[near]] = True
+    if some.any():
+        more_a, more_b = _forest(ids[some], fps[some], COPY_BITS)
+        a += more_a
+        b += more_b
+    return a, b
+
+
+def _copy_blocks(nodes: DataFrame) -> dict[int, int]:
+    """Blocks of the keys that have more than about COPY_HOT entries, counted on one node in HOT_SAMPLE; there are
+    COPY_SEGMENTS << SEGMENT keys at most."""
+    if nodes.count() <= COPY_HOT:  # a node enters a key once
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(COPY_SEGMENTS << SEGMENT, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                count += np.bincount(_entries(_words(batch))[0], minlength=len(count))
+        keys = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(count[keys], pa.int64())], names=["key", "n"])
+
+    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).select("id", "fp")
+    rows = some.mapInArrow(run, "key long, n long").groupBy("key").agg((F.sum("n") * HOT_SAMPLE).alias("n")).where(F.col("n") > COPY_HOT)
+    return {r.key: -(-r.n // COPY_HOT) for r in rows.collect()}
+
+
+def _words(batch: pa.RecordBatch) -> np.ndarray:
+    """The fingerprints of a batch, a row of unsigned words each."""
+    return batch.column(batch.schema.get_field_index("fp")).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, COPY_WORDS)
+
+
+def copy_links(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes (id, fp: COPY_WORDS longs) whose fingerprints differ in COPY_BITS at most, a forest for each word.
+
+    Pairs that differ in up to 2 * COPY_SEGMENTS - 1 bits are always met, as one segment differs in a bit at most; pairs up to
+    COPY_BITS are met where one does.  The entries of a key travel packed, ids and whole fingerprints, a row for each chunk of
+    nodes.
+    """
+    spark = nodes.sparkSession
+    prepare(spark)
+    blocks = _copy_blocks(nodes)
+
+    def packed(ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        key, row = _entries(fps)
+        full = key.astype(np.int64) << 32
+        if blocks:
+            of_key = np.ones(COPY_SEGMENTS << SEGMENT, dtype=np.int64)
+            of_key[list(blocks)] = list(blocks.values())
+            n = of_key[key]
+            own = (_mixed(ids.view(np.uint64))[0] >> np.uint64(8)).astype(np.int64)[row] % n
+            at = np.repeat(np.arange(len(key)), n)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            full, row = full[at] | np.minimum(own[at], other) << 16 | np.maximum(own[at], other), row[at]
+        order = np.argsort(full, kind="stable")
+        full = full[order]
+        data = np.column_stack([ids.view(np.uint64), fps])[row[order]]
+        start = np.concatenate(([0], np.flatnonzero(np.diff(full)) + 1, [len(full)]))
+        at = (start * data.itemsize * data.shape[1]).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+        return pa.RecordBatch.from_arrays([pa.array(full[start[:-1]], pa.int64()), blobs], names=["key", "entries"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                now.append((batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False), _words(batch)))
+                n += batch.num_rows
+            if n >= COPY_CHUNK:
+                yield packed(*(np.concatenate(x) for x in zip(*now)))
+                now, n = [], 0
+        if now:
+            yield packed(*(np.concatenate(x) for x in zip(*now)))
+
+    def links(key: int, pieces: list) -> pa.RecordBatch:
+        at = np.concatenate(pieces).reshape(-1, COPY_WORDS + 1)
+        a, b = _met(key >> 32, at[:, 0].view(np.int64), at[:, 1:])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pieces = None, []  # the key that is being read, and its entries so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
+            blobs = batch.column(batch.schema.get_field_index("entries"))
+            _, offsets, data = blobs.buffers()
+            at = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+            data = np.frombuffer(data, np.uint8)
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for s, e in zip(cuts, cuts[1:]):
+                if now is not None and key[s] != now:
+                    yield links(now, pieces)
+                    pieces = []
+                now = int(key[s])
+                pieces.append(np.frombuffer(data[at[s] : at[e]].tobytes(), np.uint64))
+        if pieces:
+            yield links(now, pieces)
+
+    rows = nodes.select("id", "fp").mapInArrow(pack, "key long, entries binary").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
 def _near_copies(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,26 +433,24 @@ def _links_across(rows: DataFrame) -> DataFrame:
 
 
 def near_copy_components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of nodes (id, bands) that have a near copy, by their whole texts in docs (doc_id, __text).
+    """(node, component) of nodes (id, fp) that have a near copy, by their whole texts in docs (doc_id, __text).
 
-    The components are those of all pairs that meet in a band and are near copies, but pairs are not made rows of.  First
-    each node is compared with one other, the least id that it meets.  Of a group, the nodes that meet the same least id, in
-    which components are then still apart, the sets come to one task, or to one for each pair of blocks where they are more
-    than BLOCK hashes; there every pair across components is compared, and links that join components are all that leaves.
+    Candidates are the components of fingerprints within COPY_BITS, by multi-index hashing.  The result's components are those
+    of all pairs of a candidate component that are near copies, but pairs are not made rows of.  First each node is compared
+    with one other, the least of its candidates.  Where near copies have not joined all candidates of one least id, their sets
+    come to one task, or to one for each pair of blocks where they are more than BLOCK hashes; there every pair across
+    components is compared, and links that join components are all that leaves.
     """
-    keys = nodes.select("id", F.explode("bands").alias("key"))
-    groups = written(keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "copy-groups")
-    met = written(keys.join(groups, "key"), "copy-met")
-    named = written(met.select("id").distinct(), "copy-named")
+    met = written(connected_components(copy_links(nodes)).toDF("id", "key"), "copy-met")
     members = T.StructField("members", T.ArrayType(T.LongType(), False), False)
+    named = written(met.select("id"), "copy-named")
     texts = may_be_in(docs, "doc_id", named).where("__may").drop("__may")
     texts = texts.join(named, texts.doc_id == named.id, "left_semi")
     sets = written(map_rows(texts, lambda ts: [[shingle_set(t).view(np.int64) for t in ts]], ["__text"], [members], keep=["doc_id"]).toDF("id", "members"), "copy-sets")
-    first = met.groupBy("id").agg(F.min("least").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
+    first = met.where("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b"))
     links = written(_near_copies(first, sets), "copy-links")
     at = written(connected_components(links), "copy-components")
-    # groups with the same least id are looked at together: most nodes are in many groups, but of few such ids
-    placed = met.select(F.col("least").alias("key"), "id").distinct().join(at.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = met.join(at.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     live = written(placed.join(written(apart, "copy-apart"), "key").join(sets.select("id", F.size("members").alias("n")), "id"), "copy-live")
     blocks = written(live.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "copy-blocks")
@@ -285,7 +459,7 @@ def near_copy_components(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     rows = live.join(blocks, "key").select("key", "id", "component", F.explode(pairs).alias("pair")).select("key", "pair.i", "pair.j", "id", "component")
     more = written(_links_across(rows.join(sets, "id").select("key", "i", "j", "id", "component", "members")).distinct(), "copy-links")
     got = connected_components(more.union(at.select("component", "node")))
-    for t in (groups, met, sets, live):
+    for t in (met, sets, live):
         discard(t)
     return got
 
@@ -294,19 +468,19 @@ def near_copy_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """doc_id, component_id of the documents.
 
     Two documents are linked if they share 0.8 of their different five-word shingles, counted exactly; candidates come from
-    minima of the shingles' hashes.  Texts with the same shingles are one node.  Rows of one id are one document; ids must be
-    longs; rows without an id are left out.  Documents without a word are copies of each other.
+    SimHash fingerprints of the shingles.  Texts with the same shingles are one node.  Rows of one id are one document; ids
+    must be longs; rows without an id are left out.  Documents without a word are copies of each other.
     """
 
     def run(texts: list) -> list:
         sets = [shingle_set(t) for t in texts]
-        return [[xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [bands(x) for x in sets]]
+        return [[xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [copy_fingerprint(x).view(np.int64) if len(x) >= LEAST_SHARED else None for x in sets]]
 
-    fields = [T.StructField("digest", T.BinaryType(), False), T.StructField("bands", T.ArrayType(T.LongType(), False), False)]
+    fields = [T.StructField("digest", T.BinaryType(), False), T.StructField("fp", T.ArrayType(T.LongType(), False), True)]
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    seen = written(map_rows(docs, run, ["__text"], fields, keep=["doc_id"]), "copy-bands")
-    nodes = written(seen.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "copy-nodes")
-    comp = near_copy_components(nodes, docs)
+    seen = written(map_rows(docs, run, ["__text"], fields, keep=["doc_id"]), "copy-fingerprints")
+    nodes = written(seen.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "copy-nodes")
+    comp = near_copy_components(nodes.where("fp is not null"), docs)
     of_node = nodes.join(comp, nodes.id == comp.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return seen.select("doc_id", "digest").join(of_node, "digest").select("doc_id", "component_id")
 

@@ -384,6 +384,48 @@ def test_block_edited_copies_go_and_lesser_ones_stay(spark):
     assert left == {2 * i for i in range(len(pairs))} | {2 * i + 1 for i, n in enumerate(near) if not n}
 
 
+def test_copy_fingerprint():
+    r = random.Random(3)
+    for n in (4, 5, 255, 256, 4081):
+        h = np.array([r.getrandbits(64) for _ in range(n)], dtype=np.uint64)
+        mixed = [[int(x) for x in w] for w in simhash._mixed(h)]
+        want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in w) > n) for w in mixed]
+        assert simhash.copy_fingerprint(h).tolist() == want
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_copy_links_connect_what_brute_force_connects(spark, monkeypatch, split):
+    """Fingerprints around some centres, and pairs of 31 differing bits, which are always met."""
+    if split:  # words of more than five entries go to pairs of blocks
+        for name, value in (("COPY_HOT", 5), ("HOT_SAMPLE", 1), ("COPY_GROUP", 8), ("COPY_CHUNK", 20)):
+            monkeypatch.setattr(simhash, name, value)
+    r = random.Random(8)
+    fps = []
+    for k in range(12):
+        centre = r.getrandbits(192)
+        fps += [centre] + [centre ^ sum(1 << b for b in r.sample(range(192), 31 if k < 6 else r.randrange(1, 16))) for _ in range(1 if k < 6 else 12)]
+    group = list(range(len(fps)))
+    for _ in fps:
+        for i in range(len(fps)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 48:
+                    group[i] = group[j] = min(group[i], group[j])
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    rows = [(i, [signed(f >> 64 * w & 2**64 - 1) for w in range(3)]) for i, f in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "id long, fp array<long>")
+    got = {x.node: x.component for x in graph.connected_components(simhash.copy_links(nodes)).collect()}
+    assert got == dict(enumerate(group))
+
+
+def test_near_copies_come_from_fingerprints(spark, monkeypatch):
+    """The pipeline's candidates are what multi-index hashing of SimHash fingerprints finds, and nothing beside it."""
+    w = [f"w{i}" for i in range(100)]
+    texts = docs(spark, [" ".join(w), " ".join(w[:-3])])
+    assert simhash.one_of_each(texts).count() == 1
+    monkeypatch.setattr(simhash, "copy_links", lambda nodes, f=simhash.copy_links: f(nodes).where("false"))
+    assert simhash.one_of_each(texts).count() == 2
+
+
 # 3 SentencePiece
 
 
