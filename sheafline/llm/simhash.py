@@ -16,7 +16,7 @@ are then held against the exact share of their shingles (near_copy_classes).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +186,8 @@ LEAST_SHARED = -(-NEAR_SHARE[0] // (NEAR_SHARE[1] - NEAR_SHARE[0]))
 COPY_HOT = 1 << 20
 #: Fingerprints whose entries are dealt out at once, entries from which on large groups are looked for first, and pairs compared at once.
 COPY_CHUNK, COPY_GROUP, COPY_PAIRS = 8192, 4096, 1 << 21
+#: Fingerprints in a row that may bring little before links are made to all that wait.
+COPY_TRIES = 64
 #: Hashes of the sets of a group that one task holds; of larger groups each pair of blocks goes to a task.
 BLOCK = 1_000_000
 _SEEDS = np.random.default_rng(SEED).integers(0, 2**64, (COPY_WORDS, 1), dtype=np.uint64)
@@ -234,11 +236,74 @@ def _entries(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[here], np.nonzero(here)[0]
 
 
-def _met(key: int, ids: np.ndarray, fps: np.ndarray) -> tuple[list, list]:
-    """Links that connect what pairs of entries of a key within COPY_BITS connect, where one at least has the very word.
+def _places(ids: np.ndarray) -> np.ndarray:
+    """A hash of each node; modulo the blocks of a word it is the node's block there."""
+    return (_mixed(ids.view(np.uint64))[0] >> np.uint64(8)).astype(np.int64)
+
+
+def _new_links(some: np.ndarray, ids: np.ndarray, fps: np.ndarray, before: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list, list]:
+    """Links that connect what pairs of `some` (rows) within COPY_BITS connect, where before(row, rows) are linked elsewhere.
+
+    From a fingerprint those within the distance that are linked to it elsewhere are taken out of the set, and the search goes
+    on from these.  The others within the distance wait; a link is made to one that waits when the search has ended, and to
+    all that wait when COPY_TRIES fingerprints in a row have brought little."""
+    a, b = [], []
+    left, words = some, fps[some]
+    by = np.full(len(ids), -1)  # from where a row that waits was met
+    while len(left):
+        queue, tries = [int(left[0])], 0
+        left, words = left[1:], words[1:]
+        waits = np.zeros(len(left), dtype=bool)
+        while queue or waits.any():
+            if waits.any() and (not queue or tries >= COPY_TRIES):
+                now = np.flatnonzero(waits) if tries >= COPY_TRIES else np.array([waits.argmax()])
+                tries = 0 if tries >= COPY_TRIES else tries
+                a += ids[by[left[now]]].tolist()
+                b += ids[left[now]].tolist()
+                queue += left[now].tolist()
+                stay = np.ones(len(left), dtype=bool)
+                stay[now] = False
+                left, words, waits = left[stay], words[stay], waits[stay]
+            if not len(left):
+                break
+            i, tries = queue.pop(), tries + bool(waits.any())
+            near = np.flatnonzero(_differ(words, fps[i]) <= COPY_BITS)
+            if not len(near):
+                continue
+            by[left[near[~waits[near]]]] = i
+            waits[near] = True
+            found = near[before(i, left[near])]
+            if len(found):
+                queue += left[found].tolist()
+                if 8 * len(found) >= len(left):
+                    tries = 0
+                stay = np.ones(len(left), dtype=bool)
+                stay[found] = False
+                left, words, waits = left[stay], words[stay], waits[stay]
+    return a, b
+
+
+def _met(key: int, ids: np.ndarray, fps: np.ndarray, block: np.ndarray | None = None) -> tuple[list, list]:
+    """Links that connect what pairs of entries of a key within COPY_BITS connect, where one at least has the very word; but
+    none that other keys' links make needless.  `block`: of two blocks that meet, to which an entry belongs.
+
+    A pair that meets in a segment before this one is linked there.  So is a pair that has another word of this segment, under
+    that word, which has a bit less; and a pair of one block, where that block meets itself.  As every such place comes before
+    this one in that order, all links together connect what all pairs connect, but a group's pairs are not linked anew under
+    each of its words.
 
     Of many entries, groups within the distance of some entry are joined first, and their pairs are not looked at."""
-    own = _segments(fps)[:, key >> SEGMENT] == key & ((1 << SEGMENT) - 1)
+    words, segment = _segments(fps), key >> SEGMENT
+    own = words[:, segment] == key & ((1 << SEGMENT) - 1)
+
+    def before(i: int, j: np.ndarray) -> np.ndarray:
+        linked = (np.bitwise_count(words[j, :segment] ^ words[i, :segment]) <= 1).any(axis=1)
+        if not own[i]:
+            linked |= words[j, segment] == words[i, segment]
+        if block is not None:
+            linked |= (block[j] == block[i]) & (own[j] | own[i])
+        return linked
+
     group = np.zeros(len(ids), dtype=np.int64)
     a, b = [], []
     if len(ids) > COPY_GROUP:
@@ -246,8 +311,10 @@ def _met(key: int, ids: np.ndarray, fps: np.ndarray) -> tuple[list, list]:
             near = (group == 0) & (_differ(fps, fps[c]) <= COPY_BITS)
             if not group[c] and 16 * near.sum() >= len(ids):
                 group[near] = c + 1
-                a += [int(ids[c])] * int(near.sum())
-                b += ids[near].tolist()
+                near[c] = False
+                more_a, more_b = _new_links(np.concatenate(([c], np.flatnonzero(near))), ids, fps, before)
+                a += more_a
+                b += more_b
     some = np.zeros(len(ids), dtype=bool)
     for g in np.unique(group[own]):
         mine, other = np.flatnonzero(own & (group == g)), np.flatnonzero((group != g) | (g == 0))
@@ -264,7 +331,7 @@ def _met(key: int, ids: np.ndarray, fps: np.ndarray) -> tuple[list, list]:
             near = _differ(fps[i], fps[j]) <= COPY_BITS
             some[i[near]] = some[j[near]] = True
     if some.any():
-        more_a, more_b = _forest(ids[some], fps[some], COPY_BITS)
+        more_a, more_b = _new_links(np.flatnonzero(some), ids, fps, before)
         a += more_a
         b += more_b
     return a, b
@@ -295,7 +362,8 @@ def _words(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def copy_links(nodes: DataFrame) -> DataFrame:
-    """(a, b) of nodes (id, fp: COPY_WORDS longs) whose fingerprints differ in COPY_BITS at most, a forest for each word.
+    """(a, b) of nodes (id, fp: COPY_WORDS longs) whose fingerprints differ in COPY_BITS at most; links that connect what all
+    pairs that meet connect.
 
     Pairs that differ in up to 2 * COPY_SEGMENTS - 1 bits are always met, as one segment differs in a bit at most; pairs up to
     COPY_BITS are met where one does.  The entries of a key travel packed, ids and whole fingerprints, a row for each chunk of
@@ -312,7 +380,7 @@ def copy_links(nodes: DataFrame) -> DataFrame:
             of_key = np.ones(COPY_SEGMENTS << SEGMENT, dtype=np.int64)
             of_key[list(blocks)] = list(blocks.values())
             n = of_key[key]
-            own = (_mixed(ids.view(np.uint64))[0] >> np.uint64(8)).astype(np.int64)[row] % n
+            own = _places(ids)[row] % n
             at = np.repeat(np.arange(len(key)), n)
             other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             full, row = full[at] | np.minimum(own[at], other) << 16 | np.maximum(own[at], other), row[at]
@@ -338,7 +406,8 @@ def copy_links(nodes: DataFrame) -> DataFrame:
 
     def links(key: int, pieces: list) -> pa.RecordBatch:
         at = np.concatenate(pieces).reshape(-1, COPY_WORDS + 1)
-        a, b = _met(key >> 32, at[:, 0].view(np.int64), at[:, 1:])
+        ids, two = at[:, 0].view(np.int64), key >> 16 & 0xFFFF != key & 0xFFFF
+        a, b = _met(key >> 32, ids, at[:, 1:], _places(ids) % blocks[key >> 32] if two else None)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -417,6 +417,44 @@ def test_copy_links_connect_what_brute_force_connects(spark, monkeypatch, split)
     assert got == dict(enumerate(group))
 
 
+@pytest.mark.parametrize("split", [1, 3])
+@pytest.mark.parametrize("n, large", [(150, 4096), (300, 4096), (300, 8)])
+def test_copy_links_are_not_made_anew_under_each_word(monkeypatch, n, large, split):
+    """What leaves the tasks follows the size of a group, not the words or pairs of blocks that its pairs meet under."""
+    monkeypatch.setattr(simhash, "COPY_GROUP", large)
+    r = random.Random(n)
+    flip = lambda x, k: x ^ sum(1 << b for b in r.sample(range(192), k))
+    centre = r.getrandbits(192)
+    near = [flip(centre, r.randrange(1, 20)) for _ in range(n)]
+    fps = near + [flip(x, 26) for x in near[:20]] + [r.getrandbits(192) for _ in range(30)]
+    words_of = np.array([[f >> 64 * w & 2**64 - 1 for w in range(3)] for f in fps], dtype=np.uint64)
+    ids = np.arange(len(fps), dtype=np.int64)
+    block = ids % split
+    key, row = simhash._entries(words_of)
+    links = []
+    for k in np.unique(key):
+        here = np.sort(row[key == k])
+        for i in range(split):
+            for j in range(i, split):
+                at = here[(block[here] == i) | (block[here] == j)]
+                a, b = simhash._met(int(k), ids[at], words_of[at], *([block[at]] if i < j else []))
+                assert all((fps[x] ^ fps[y]).bit_count() <= simhash.COPY_BITS for x, y in zip(a, b))
+                links += zip(a, b)
+
+    def groups(pairs):
+        group = list(range(len(fps)))
+        for x, y in pairs:
+            if group[x] != group[y]:
+                lo, hi = sorted((group[x], group[y]))
+                group = [lo if g == hi else g for g in group]
+        return group
+
+    seg = simhash._segments(words_of)
+    every = [(x, y) for y in range(len(fps)) for x in range(y) if (fps[x] ^ fps[y]).bit_count() <= simhash.COPY_BITS and (np.bitwise_count(seg[x] ^ seg[y]) <= 1).any()]
+    assert groups(links) == groups(every)
+    assert len(links) < 3 * len(fps)
+
+
 def test_near_copies_come_from_fingerprints(spark, monkeypatch):
     """The pipeline's candidates are what multi-index hashing of SimHash fingerprints finds, and nothing beside it."""
     w = [f"w{i}" for i in range(100)]
